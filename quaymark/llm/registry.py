@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import packing, token_frames
+from quaymark.llm import packing, quality, simhash, token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
+    "op5_simhash": simhash.simhash_components,
     "op7_packing": packing.packed_sequences,
+    "op10_quality": quality.quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
