@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import packing, quality, simhash, token_frames
+from quaymark.llm import licenses, packing, quality, simhash, token_frames, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
+    "op2_url_filter": url_filter.url_verdicts,
     "op5_simhash": simhash.simhash_components,
     "op7_packing": packing.packed_sequences,
+    "op9_licenses": licenses.license_scan,
     "op10_quality": quality.quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.ORACLE}
