@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import licenses, packing, quality, simhash, token_frames, url_filter
+from quaymark.llm import decontaminate, licenses, packing, quality, simhash, token_frames, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
     "op2_url_filter": url_filter.url_verdicts,
+    "op4_decontaminate": decontaminate.benchmark_hits,
     "op5_simhash": simhash.simhash_components,
     "op7_packing": packing.packed_sequences,
     "op9_licenses": licenses.license_scan,
