@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import decontaminate, licenses, packing, quality, simhash, token_frames, url_filter
+from quaymark.llm import chat, decontaminate, licenses, packing, quality, simhash, token_frames, url_filter, warc_zip, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
     "op2_url_filter": url_filter.url_verdicts,
+    "op3_warc_zip": warc_zip.warc_records,
     "op4_decontaminate": decontaminate.benchmark_hits,
     "op5_simhash": simhash.simhash_components,
+    "op6_chat": chat.chat_digests,
     "op7_packing": packing.packed_sequences,
+    "op8_wrappers": wrappers.main_texts,
     "op9_licenses": licenses.license_scan,
     "op10_quality": quality.quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_zip": warc_zip.ORACLE,
+    "op6_chat": chat.ORACLE,
+    "op9_licenses": licenses.ORACLE,
+}
