@@ -68,25 +68,26 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(_without(text, characters))).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts, and ``n_lines``, ``n_upper`` and ``n_marks`` for the statistics."""
+def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The base counts and those of the statistics, with the columns ``carried`` of ``docs`` in a struct ``doc``."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    inner = F.trim(t, F.lit(BLANKS))
+    rows = docs.select(F.struct(*carried).alias("doc"), F.col("lang"), F.col("source"), t.alias("t"))
+    inner = F.trim("t", F.lit(BLANKS))
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
     hashes = F.expr(f"transform(sequence(0, greatest(size(w) - {WINDOW}, 0)), i -> xxhash64(slice(w, i + 1, {WINDOW})))")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
-    counted = docs.withColumn("w", words).withColumn("h", hashes).withColumn("l", lines)
+    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    counted = rows.withColumn("w", words).withColumn("h", hashes).withColumn("l", lines)
     return counted.select(
-        *docs.columns,
+        "doc", "lang", "source",
         F.size("w").cast("long").alias("n_words"),
-        F.length(_without(t, BLANKS)).cast("long").alias("word_chars"),
-        _count(t, SYMBOLS).alias("n_symbols"),
+        F.length(_without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
+        _count(F.col("t"), SYMBOLS).alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
-        _count(t, UPPER).alias("n_upper"),
-        _count(t, MARKS).alias("n_marks"),
-    )
+        _count(F.col("t"), UPPER).alias("n_upper"),
+        _count(F.col("t"), MARKS).alias("n_marks"),
+    )
 
 
 def base_failed() -> Column:
@@ -182,13 +183,18 @@ def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return _cholesky(sums.select("stratum", *[mean[i].alias(f"m_{i}") for i in k], *covariances))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, ``source``, the base counts, ``base_failed``, ``distance`` and ``kept`` of each row."""
-    counts = measured(docs.select("doc_id", "text", "lang", "source")).drop("text")
+def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``doc`` (the columns ``carried``), the base counts, ``base_failed``, ``distance`` and ``kept`` of each row."""
+    counts = measured(docs, carried)
     rows = counts.withColumn("base_failed", base_failed()).withColumns(dict(zip(STATS, _statistics())))
     return _verdicts(stored(rows, "quality-counts"))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    return judged(docs, docs.columns).where("kept").select("doc.*")
+
+
 def _verdicts(rows: DataFrame) -> DataFrame:
     fit = rows.where(~F.col("base_failed"))
     strata = stored(_strata(fit), "quality-strata")
@@ -216,7 +222,7 @@ def _verdicts(rows: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op10: the base counts, the base verdict and whether each document is kept."""
-    found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )

@@ -51,7 +51,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` of each row, the fingerprint as a signed long."""
+    """``(doc_id, text_key, fp)`` of each row: the id, a hash of the text, and the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = np.array([fingerprint(t, words) for t in texts], np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), fp("text").alias("fp"))
 
 
 def cell(fp: Column) -> Column:
@@ -106,16 +106,34 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of each row of ``docs``."""
+    """``(doc_id, text_key, fp, component_id)`` of each row of ``docs``."""
     prints = stored(fingerprints(docs, words), "fingerprints")
     # a node is the smallest doc_id with the fingerprint; one without ids takes part under none
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "distinct-fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
     components = connected_components(links(distinct.where("node is not null")))
     labelled = (
         distinct.join(components, "node", "left")
         .select("fp", F.coalesce("component", "node").alias("component_id"))
     )
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, and the smallest hash of the text."""
+    found = near_duplicates(docs, words)
+    # documents without an id in a component without ids stand for themselves by their fingerprint
+    group = F.coalesce("component_id", "fp"), F.col("component_id").isNull()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("row")
+    chosen = found.groupBy(group[0].alias("group"), group[1].alias("nameless")).agg(least)
+    times = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    picked = chosen.select(F.col("row.doc_id").alias("of_doc"), F.col("row.text_key").alias("of_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
+    staying = stored(times.join(picked, same).select("of_doc", "of_text", "times"), "deduplicated-keys")
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64("text") == F.col("of_text"))
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text").join(staying, here).select("doc", "of_doc", "of_text", "times")
+    # only rows that are repeated as a whole need another look
+    once, more = rows.where("times = 1"), rows.where("times > 1").dropDuplicates(["of_doc", "of_text"])
+    return once.union(more).select("doc.*")
 
 
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
