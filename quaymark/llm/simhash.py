@@ -1,13 +1,13 @@
 """SimHash near-duplicates: a popcount embedding, a grid range join, an exact check, components.
 
-A fingerprint of 64 bits is seen as sixteen segments of four bits. Its vector of segment popcounts,
-packed into one long of sixteen nibbles, is its cell. Two fingerprints that differ in at most two
+A fingerprint of 64 bits is seen as 32 segments of two bits. Its vector of segment popcounts, packed into
+one long, is its cell. Two fingerprints that differ in at most two
 bits have cells at a Manhattan distance of two or less, so a point of the grid lies within one step
 of both: cells meet at such points, and fingerprints whose cells meet no others are done. For the
 rest the same midpoint idea settles the matter exactly: they differ in two bits or fewer if and only
 if some 64-bit word lies within one bit of both. All fingerprints at such a word are linked to each
 other, so each is joined to the smallest alone. A word or grid point is met by no more than 65
-fingerprints or 33 cells, by construction, so no group can grow with the data and no pair is lost.
+fingerprints or 65 cells, by construction, so no group can grow with the data and no pair is lost.
 
 Only distinct fingerprints take part; their members come back by a join. Nulls: a null text has no
 words and the fingerprint zero; it links as any other. A null ``doc_id`` gets the component of its
@@ -63,22 +63,26 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def cell(fp: Column) -> Column:
-    """Popcounts of the sixteen four-bit segments, one to a nibble; without carries, so never an overflow."""
-    ones, twos = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
+    """Popcounts of the 32 two-bit segments, in two bits each; by bit operations alone, so never an overflow."""
+    ones = F.lit(0x5555555555555555)
     low, high = fp.bitwiseAND(ones), F.shiftrightunsigned(fp, 1).bitwiseAND(ones)
-    pairs = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    return pairs.bitwiseAND(twos) + F.shiftrightunsigned(pairs, 2).bitwiseAND(twos)
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def _steps(at: Column) -> Column:
-    """The cell and all cells one step away."""
+    """The cell and all cells one step away: a count of 0, 1 or 2 goes up or down by one."""
     around = [at]
-    for shift in range(0, 64, 4):
-        count = F.shiftrightunsigned(at, shift).bitwiseAND(F.lit(15))
-        around += [F.when(count < 4, at + F.lit(1 << shift)), F.when(count > 0, at - F.lit(1 << shift))]
+    for shift in range(0, 64, 2):
+        count = F.shiftrightunsigned(at, shift).bitwiseAND(F.lit(3))
+        # 01 turns 0 into 1 and back, 11 turns 1 into 2 and back
+        around += [F.when(count < 2, at.bitwiseXOR(_signed(1 << shift))), F.when(count > 0, at.bitwiseXOR(_signed(3 << shift)))]
     return F.array_compact(F.array(*around))
 
 
+def _signed(word: int) -> Column:
+    return F.lit(word - (1 << 64) if word >> 63 else word).cast("long")
+
+
 def _flips(fp: Column) -> Column:
     """The fingerprint and all words one bit away."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
