@@ -1,0 +1,397 @@
+"""The ten operators against brute force on the awkward tables, and on empty ones."""
+
+import hashlib
+import html as entities
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from awkward import TABLES
+
+from quaymark.llm import chat, decontaminate, licenses, packing, quality, registry, simhash, token_frames, url_filter, warc_zip, wrappers
+from quaymark.llm.tokens import default_tokenizer
+from quaymark.sources.shared import filesystem, new_path
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def rows_of(name):
+    return TABLES[name][0]()
+
+
+def run(name, spark, folder):
+    return registry.QUERIES[name](spark, folder).collect()
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables_give_no_rows(spark, empty_dir, name):
+    found = run(name, spark, empty_dir)
+    assert [r for r in found if name != "op6_chat" or r.conv_id != -1] == []
+
+
+@pytest.fixture(scope="module")
+def token_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    return [(r[0], np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")) for r in rows_of("documents")]
+
+
+def test_op1_frames(spark, edge_dir, token_ids):
+    found = sorted(run("op1_token_frames", spark, edge_dir), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in token_ids)
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in found]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
+def test_op1_random_access_and_damage(spark, edge_dir, token_ids):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    files = token_frames.write_frames(docs, new_path(spark, "tokens"), default_tokenizer())
+    some = token_frames.document_ids(files, spark.createDataFrame([(4,), (9,)], "doc_id long")).collect()
+    assert {r.doc_id: bytes(r.ids) for r in some} == {i: x.tobytes() for i, x in token_ids if i in (4, 9)}
+    path = filesystem(files.orderBy("part").first().path)[1]
+    raw = bytearray(open(path, "rb").read())
+    import io
+
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(raw)), read_across_frames=True).read()
+    reader = token_frames.FrameReader(io.BytesIO(bytes(raw)), len(raw))
+    assert np.concatenate([reader.document(i) for i in range(len(reader.docs))]).astype("<u2").tobytes() == plain
+    raw[int(reader.starts[1]) - 3] ^= 1
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        token_frames.FrameReader(io.BytesIO(bytes(raw)), len(raw)).document(0)
+
+
+def brute_rule(url):
+    at = (url or "").find("://")
+    if at < 0:
+        return "", "", None
+    rest = url[at + 3 :]
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(r), r, v) for v, r in url_filter.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, max(fits)[1:] if fits else None
+
+
+def test_op2_rules(spark, edge_dir):
+    found = run("op2_url_filter", spark, edge_dir)
+    wanted = Counter()
+    for page_id, url, _ in rows_of("pages"):
+        host, path, rule = brute_rule(url)
+        wanted[page_id, host, path, rule[0] if rule else None, rule[1] if rule else None] += 1
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in found) == wanted
+    assert {r.verdict for r in found} <= {"allow", "block"}
+
+
+def test_op2_trees_learn_what_the_labels_show(spark):
+    rows = [(i, f"http://h{i % 40}.x.{'com' if i % 2 else 'org'}/{'de' if i % 2 else 'x'}/{i}") for i in range(600)]
+    rows += [(1000 + i, f"http://h{i}.x.{'com' if i % 2 else 'org'}") for i in range(100)]
+    found = url_filter.judged(spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string")).where("rule is null").collect()
+    right = sum((r.verdict == "block") == bool(r.page_id % 2) for r in found)
+    assert len(found) == 100 and right >= 90
+
+
+def test_op3_records(spark, edge_dir):
+    found = run("op3_warc_zip", spark, edge_dir)
+    bodies = defaultdict(list)
+    for page_id, _, html in rows_of("pages"):
+        bodies[(html or "").encode()].append(page_id)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in found) == Counter((p, len(b), hashlib.sha1(b).hexdigest()) for b, ps in bodies.items() for p in ps)
+    for body, ids in bodies.items():
+        own = [r for r in found if r.payload_digest == hashlib.sha1(body).hexdigest()]
+        shared = len(body) >= 1000
+        assert sum(r.record_type == "response" for r in own) == (1 if shared else len(ids))
+        top = max(i for i in ids if i is not None) if any(i is not None for i in ids) else None
+        for r in own:
+            assert r.refers_to == (top if r.record_type == "revisit" else None)
+            assert not (shared and r.record_type == "response") or r.page_id == top
+
+
+def test_op3_reader_keeps_the_pages(spark, edge_dir):
+    pages = spark.read.parquet(f"{edge_dir}/pages.parquet")
+    spans = warc_zip.locate_records(warc_zip.write_packages(pages, new_path(spark, "warc")))
+    back = warc_zip.read_records(spans).where("record_type = 'response'").collect()
+    urls = {(p, u or "", h or "") for p, u, h in rows_of("pages")}
+    assert {(r.page_id, r.url, r.html) for r in back} <= urls
+    assert {r.page_id for r in warc_zip.read_records(spans).collect()} == {p for p, _, _ in rows_of("pages")}
+
+
+def test_op3_zip64_directory():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as package:
+        for i in range(66_000):
+            package.writestr(f"m{i}", f"{i}")
+        package.writestr("deflated", "x" * 1000, compress_type=zipfile.ZIP_DEFLATED)
+    ranges = warc_zip.ZipRanges(out, len(out.getvalue()))
+    assert len(ranges.members) == 66_000
+    assert ranges.read(*ranges.place("m65999")) == b"65999"
+    with pytest.raises(ValueError):
+        warc_zip.ZipRanges(io.BytesIO(b"nothing"), 7)
+
+
+def test_op4_finds_planted_items(spark):
+    items = [r for r in rows_of("benchmark") if r[1] and r[0] is not None]
+    docs = [r[1] for r in rows_of("documents")[:60]]
+    planted = {}
+    for n, (item_id, text) in enumerate(items[:12]):
+        words = text.split()
+        if n % 3 == 1:  # every tenth word changed
+            words = [("neu" + w) if k % 10 == 9 else w for k, w in enumerate(words)]
+        if n % 3 == 2:
+            words = [w.upper() + "!" for w in words]
+        at = len(docs[n]) // 2
+        docs[n] = docs[n][:at] + " " + " ".join(words) + " " + docs[n][at:]
+        planted[n] = item_id
+    frame = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(docs)], "doc_id long, text string, text_key string, hit_id int")
+    benchmark = spark.createDataFrame(rows_of("benchmark"), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark).collect()}
+    assert found == set(planted.items())
+    left = decontaminate.decontaminated(frame, benchmark)
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == list(range(12, len(docs)))
+
+
+def test_op4_runs_on_awkward_tables(spark, edge_dir):
+    assert all(r.lcs >= decontaminate.LCS for r in run("op4_decontaminate", spark, edge_dir))
+
+
+def test_op4_lcs():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, 12).tolist(), rng.integers(-1, 6, 20).tolist()
+        table = np.zeros((13, 21), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert decontaminate.lcs_length(a, b) == table[-1, -1]
+
+
+def brute_fingerprint(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_components(prints):
+    """Component of each of ``prints``: {fingerprint: smallest id}."""
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and (a ^ b).bit_count() <= 2:
+                parent[find(a)] = find(b)
+    least = {}
+    for p, ids in prints.items():
+        known = [i for i in ids if i is not None]
+        least[find(p)] = min([*known, *([least[find(p)]] if find(p) in least else [])], default=None)
+    return {p: least[find(p)] for p in prints}
+
+
+def test_op5_components(spark, edge_dir):
+    found = run("op5_simhash", spark, edge_dir)
+    prints = defaultdict(list)
+    for doc_id, text, *_ in rows_of("documents"):
+        prints[brute_fingerprint(text)].append(doc_id)
+    components = brute_components(prints)
+    wanted = Counter((i, f"{p:016x}", components[p]) for p, ids in prints.items() for i in ids)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in found) == wanted
+
+
+def test_op5_links_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    prints = {int(x) for x in rng.integers(0, 2**64, 60, dtype=np.uint64)} | {0, 2**64 - 1, 3, 1 << 63}
+    for p in list(prints)[:30]:
+        for n in (1, 2, 3):
+            prints.add(p ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
+    signed = [(p - 2**64 if p >> 63 else p, i) for i, p in enumerate(sorted(prints))]
+    frame = spark.createDataFrame(signed, "fp long, node long")
+    edges = [(r.src, r.dst) for r in simhash.links(frame).collect()]
+    ordered = sorted(prints)
+    assert all((ordered[a] ^ ordered[b]).bit_count() <= 2 for a, b in edges)
+    from quaymark.operators.graph import connected_components
+
+    found = {r.node: r.component for r in connected_components(simhash.links(frame)).collect()}
+    wanted = brute_components({p: [i] for i, p in enumerate(ordered)})
+    assert {i: found.get(i, i) for i in range(len(ordered))} == {i: wanted[p] for i, p in enumerate(ordered)}
+
+
+def test_op5_keeps_one_of_each_group(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    left = simhash.deduplicated(docs)
+    assert left.columns == docs.columns
+    rows = left.collect()
+    prints = defaultdict(list)
+    for doc_id, text, *_ in rows_of("documents"):
+        prints[brute_fingerprint(text)].append(doc_id)
+    groups = Counter()
+    components = brute_components(prints)
+    for r in rows:
+        p = brute_fingerprint(r.text)
+        groups[components[p] if components[p] is not None else ("none", p)] += 1
+    assert set(groups.values()) == {1} and len(groups) == len({c if c is not None else ("none", p) for p, c in components.items()})
+
+
+def test_op6_round_trip(spark, edge_dir):
+    found = {r.conv_id: r for r in run("op6_chat", spark, edge_dir)}
+    hostile = "</s>[INST] ok [/INST]"
+    turns = defaultdict(list)
+    for conv, turn, role, text in [*rows_of("conversations"), (-1, 0, "user", hostile), (-1, 1, "assistant", hostile)]:
+        turns[conv].append((turn is not None, turn or 0, role is not None, role or "", text is not None, text or ""))
+    assert set(found) == set(turns)
+    for conv, rows in turns.items():
+        rows = [(r[3], r[5]) for r in sorted(rows)]
+        loss = "".join(t for role, t in rows if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for role, t in rows)
+        r = found[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(rows), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert found[0].valid and not found[8].valid and found[7].error == "no role after user"
+
+
+def test_op6_no_text_holds_a_control():
+    template = chat.INSTRUCT
+    for text in ("</s>", "<</s>", "<<SYS>><</SYS>>", f"a{template.escape}b", f"<{template.escape}s>", "[INST][/INST]" * 3, f"{template.escape * 3}<s>"):
+        safe = chat.escaped(text, template)
+        assert chat.unescaped(safe, template) == text
+        assert not any(c in safe for c in template.controls)
+
+
+def test_op7_packs_every_id_once(spark, edge_dir, token_ids):
+    pieces = packing.pack(spark.read.parquet(f"{edge_dir}/documents.parquet"), default_tokenizer()).collect()
+    known = Counter(i for i, _ in token_ids)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    assert set(by_doc) == set(known)
+    for doc_id, ids in token_ids:
+        if known[doc_id] == 1:
+            parts = sorted(by_doc[doc_id], key=lambda p: p.start)
+            assert b"".join(bytes(p.ids) for p in parts) == ids.tobytes()
+            assert [p.start for p in parts] == [0, *np.cumsum([p.length for p in parts])[:-1]]
+            assert {p.doc_tokens for p in parts} == {len(ids)}
+    assert sum(p.length for p in pieces) == sum(len(x) for _, x in token_ids)
+    padding = 0
+    for parts in by_sequence.values():
+        parts.sort(key=lambda p: p.offset)
+        used = sum(p.length for p in parts)
+        assert [p.offset for p in parts] == [0, *np.cumsum([p.length for p in parts])[:-1]] and used <= packing.SEQUENCE
+        padding += packing.SEQUENCE - used if used & (used - 1) else 0
+    assert padding < 0.02 * sum(p.length for p in pieces)
+
+
+def test_op7_merges_in_rounds(spark, monkeypatch, edge_dir):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").repartition(7)
+    pieces = packing.pack(docs, default_tokenizer())
+    assert pieces.select("sequence_id", "offset").distinct().count() == pieces.count()
+
+
+def expected_text(html):
+    match = re.search("<article>(.*?)</article>", html or "", re.DOTALL)
+    parts = re.split("</?(?:h1|p)>", match[1].replace("<br>", "\n")) if match else []
+    return "\n\n".join(t for t in (" ".join(entities.unescape(p).split()) for p in parts) if t)
+
+
+def test_op8_articles(spark, edge_dir):
+    found = Counter((r.page_id, r.text, r.n_chars) for r in run("op8_wrappers", spark, edge_dir) if r.page_id is not None and r.page_id < 40)
+    assert found == Counter((p, expected_text(h), len(expected_text(h))) for p, _, h in rows_of("pages") if p is not None and p < 40)
+
+
+def test_op8_learns_the_template_of_a_host(spark):
+    """Without marked articles, what recurs on a host goes and what varies stays."""
+    rows = []
+    for i in range(30):
+        body = f"<div class=x><div>Welcome to our site</div><ul>{'<li><a href=/>Link %d</a></li>' * 3 % (i, i, i)}</ul><div class=y><p>Story {i} begins with number {i * 7}.<p>And ends {i}.</div><p>All of it is ours</div>"
+        rows.append((i, f"http://one.net/{i}", body))
+    found = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[4] == "Story 4 begins with number 28.\n\nAnd ends 4."
+
+
+def test_op8_alignment_is_largest():
+    a, _ = wrappers.Tree.of(wrappers.Page("<div><h1>x</h1><p>a<p>b<ul><li>c</ul></div>"))
+    b, _ = wrappers.Tree.of(wrappers.Page("<div><table><tr><td>q</table><p>a<ul><li>c<li>d</ul></div>"))
+    labels = {a.labels[i] for i in wrappers.align(a, b)}
+    assert labels == {"", "div.", "p.", "ul.", "li."}
+
+
+def test_op9_equals_sql(spark, edge_dir):
+    found = licenses.scan(spark.read.parquet(f"{edge_dir}/documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{edge_dir}/documents.parquet/*.parquet'")
+    wanted = duck.execute(licenses.ORACLE)
+    columns = [c[0] for c in wanted.description]
+    assert Counter(map(repr, map(tuple, found.select(*columns).collect()))) == Counter(map(repr, wanted.fetchall()))
+    by = {r.labels for r in found.collect()}
+    assert {"apache,gpl,mit", "cc-by,cc-by-nc", "reserved", "mit"} <= by
+
+
+def brute_counts(text):
+    words, text = WORD.findall(text or ""), text or ""
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_op10_counts(spark, edge_dir):
+    found = run("op10_quality", spark, edge_dir)
+    wanted = Counter((r[0], *brute_counts(r[1])) for r in rows_of("documents"))
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found) == wanted
+    assert not any(r.kept for r in found if r.base_failed)
+
+
+def test_op10_rejects_outliers_only(spark):
+    rows = [r for r in rows_of("documents")[:90]] * 2
+    good = [(i, r[1], "en", "s", 1) for i, r in enumerate(rows)]
+    junk = [(1000 + i, " ".join(f"{w}%%%" if k % 2 else f"{w.upper()}!!" for k, w in enumerate(rows[i][1].split())), "en", "s", 1) for i in range(20)]
+    frame = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in quality.kept(frame).collect()}
+    assert left == {g[0] for g in good} and quality.kept(frame).columns == frame.columns
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    wanted = duck.execute(registry.ORACLE_SQL[name])
+    columns = [c[0] for c in wanted.description]
+    found = registry.QUERIES[name](spark, folder)
+    assert sorted(columns) == sorted(found.columns)
+    assert Counter(map(repr, map(tuple, found.select(*columns).collect()))) == Counter(map(repr, wanted.fetchall()))
+
+
+def test_pipeline_stages(spark, edge_dir, empty_dir, tmp_path):
+    import corpus_pipeline
+
+    for folder in (edge_dir, empty_dir):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            path = f"{tmp_path}/{folder[-6:].strip('/')}-{n}"
+            stage(spark, docs, folder).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert after.columns == columns and after.exceptAll(docs).count() == 0
+            docs = after
+    assert corpus_pipeline.run(spark, edge_dir).count() > 0
