@@ -9,6 +9,10 @@ if some 64-bit word lies within one bit of both. All fingerprints at such a word
 other, so each is joined to the smallest alone. A word or grid point is met by no more than 65
 fingerprints or 65 cells, by construction, so no group can grow with the data and no pair is lost.
 
+A change of one word in a few hundred flips several bits, and at a similarity of 0.8 some fifteen of 64 differ, where
+popcounts bound nothing. Where ``least`` asks for such near copies (the pipeline does, the query op5 does not),
+sketches of the least shingle hashes find candidates and the whole sets of shingles decide. See ``similar_links``.
+
 Only distinct fingerprints take part; their members come back by a join. Nulls: a null text has no
 words and the fingerprint zero; it links as any other. A null ``doc_id`` gets the component of its
 fingerprint, and null if no document of the component has an id. Repeated ids are kept as they are.
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,12 @@ from quaymark.sources.shared import stored
 
 WORDS = 3
 SEED = 42
+#: For texts that are similar but more than two bits apart: words of a shingle, least similarity, hashes in a sketch.
+SKETCH_WORDS, SIMILARITY, SKETCH = 5, 0.8, 64
+#: Sketches estimate a similarity with a standard error of 0.05; candidates may fall short by so much.
+MARGIN = 0.12
+#: Orders in which the sketches stand, and texts before it that each is held against in every order.
+ANCHORS, NEIGHBOURS = 6, 3
 #: Shingles hashed at a time, so that a very long text needs little memory beyond its words.
 BLOCK = 1 << 15
 
@@ -50,16 +61,33 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_key, fp)`` of each row: the id, a hash of the text, and the fingerprint as a signed long."""
+def sketch(text: str | None) -> list[int]:
+    """The least hashes of the five-word shingles of a text, in ascending order; of its words, if it has fewer."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, least = xxhash.xxh64_intdigest, np.empty(0, np.uint64)
+    n = max(1, len(tokens) - SKETCH_WORDS + 1) if tokens else 0
+    for at in range(0, n, BLOCK):
+        some = tokens[at : min(at + BLOCK, n) + SKETCH_WORDS - 1]
+        shingles = zip(*(some[k:] for k in range(SKETCH_WORDS))) if len(tokens) >= SKETCH_WORDS else [tokens]
+        hashes = np.array([digest(b" ".join(s), SEED) for s in shingles], np.uint64)
+        least = np.unique(np.concatenate([least, hashes]))[:SKETCH]
+    return (least >> np.uint64(32)).astype(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, sketches: bool = False) -> DataFrame:
+    """``(doc_id, text_key, fp, sketch)`` of each row: the id, a hash of the text, the fingerprint as a signed
+    long, and the sketch, empty unless asked for."""
 
-    @F.pandas_udf("long")
-    def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("fp long, sketch array<long>")
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            found = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            yield pd.Series(found.view(np.int64))
+            found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": found, "sketch": [sketch(t) if sketches else [] for t in texts]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), fp("text").alias("fp"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), prints("text").alias("p"))
+    return keyed.select("doc_id", "text_key", "p.fp", "p.sketch")
 
 
 def cell(fp: Column) -> Column:
@@ -109,12 +137,88 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_key, fp, component_id)`` of each row of ``docs``."""
-    prints = stored(fingerprints(docs, words), "fingerprints")
+def similarity(a: list[int], b: list[int]) -> float:
+    """Jaccard similarity of the shingles of two texts from their sketches; exact if both are whole."""
+    both, x, y = set(a) | set(b), set(a), set(b)
+    if not both:
+        return 1.0
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        both = set(sorted(both)[:SKETCH])
+    return len(both & x & y) / len(both)
+
+
+def shingles(text: str | None) -> set[int]:
+    """Hashes of all five-word shingles of a text."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) < SKETCH_WORDS:
+        return {xxhash.xxh64_intdigest(b" ".join(tokens), SEED)} if tokens else set()
+    return {xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(tokens[k:] for k in range(SKETCH_WORDS)))}
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)`` of the candidates whose texts are similar by all their shingles.
+
+    ``distinct(node, text_key, sketch)``; only the texts of candidates are fetched.
+    """
+
+    @F.pandas_udf("boolean")
+    def similar(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        found = []
+        for a, b in zip(ours, theirs):
+            x, y = shingles(a), shingles(b)
+            found.append(len(x & y) >= least * len(x | y))
+        return pd.Series(found)
+
+    pairs = stored(similar_candidates(distinct, least - MARGIN), "similar-candidates")
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", "text_key"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("text_key"), "text")
+    found = stored(texts.join(wanted, ["node", "text_key"], "left_semi").select("node", "text"), "similar-texts")
+    left, right = (found.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")) for end in ("src", "dst"))
+    return pairs.join(left, "src").join(right, "dst").where(similar("text_src", "text_dst")).select("src", "dst").distinct()
+
+
+def similar_candidates(distinct: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)`` of texts with similar sketches.
+
+    Texts stand in the order of each of their ``ANCHORS`` least hashes and the rest of the sketch, and
+    each is held against the ``NEIGHBOURS`` before it under the same anchor. A frequent anchor, as of a passage that many
+    texts share, is split over tasks by the rest of the sketch, so the work is linear whatever recurs.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[tuple] = []
+        for batch in batches:
+            out = []
+            offsets, values = batch["sketch"].offsets.to_pylist(), batch["sketch"].values.to_numpy()
+            for i, (anchor, node) in enumerate(zip(batch["anchor"].to_pylist(), batch["node"].to_pylist())):
+                own = values[offsets[i] : offsets[i + 1]].tolist()
+                before = [x for x in before[-NEIGHBOURS:] if x[0] == anchor]
+                out += [(node, other) for _, other, theirs in before if other != node and similarity(own, theirs) >= least]
+                before.append((anchor, node, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["src", "dst"])
+
+    anchored = distinct.select("node", "sketch", F.explode(F.slice("sketch", 1, ANCHORS)).alias("anchor"))
+    ordered = anchored.repartitionByRange(F.col("anchor"), F.col("sketch")).sortWithinPartitions("anchor", "sketch", "node")
+    return ordered.mapInArrow(compare, "src long, dst long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
+    """``(doc_id, text_key, fp, component_id)`` of each row of ``docs``.
+
+    Fingerprints link within two bits; with ``least``, texts of that similarity in five-word shingles link too.
+    """
+    prints = stored(fingerprints(docs, words, least is not None), "fingerprints")
     # a node is the smallest doc_id with the fingerprint; one without ids takes part under none
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    components = connected_components(links(distinct.where("node is not null")))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "sketch")).alias("first"))
+    distinct = stored(first.select("fp", F.col("first.doc_id").alias("node"), "first.text_key", "first.sketch"), "distinct-fingerprints")
+    named = distinct.where("node is not null")
+    edges = links(named)
+    if least is not None:
+        edges = edges.union(similar_links(docs, named, least))
+    components = connected_components(edges)
     labelled = (
         distinct.join(components, "node", "left")
         .select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -122,9 +226,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(labelled, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, least: float | None = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, and the smallest hash of the text."""
-    found = near_duplicates(docs, words)
+    found = near_duplicates(docs, words, least)
     # documents without an id in a component without ids stand for themselves by their fingerprint
     group = F.coalesce("component_id", "fp"), F.col("component_id").isNull()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("row")
