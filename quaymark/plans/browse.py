@@ -10,7 +10,7 @@ from quaymark.operators.groups import ancestors, tree_totals
 from quaymark.operators.similarity import wilson
 from quaymark.operators.windows import as_of, delays, latest, sessions, spaced_samples, suppressed
 from quaymark.plans.registry import query, table
-from quaymark.streaming.streams import deduplicated, drained, file_stream, windowed_counts
+from quaymark.streaming.streams import deduplicated, drained, file_stream, pending, suppressed_within, windowed_counts
 
 
 @query("""SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
@@ -295,3 +295,25 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = windowed_counts(file_stream(spark, sf_dir, "events"), "ts", "event_type", "1 day", "60 days")
     flat = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
     return drained(flat, "counts", "complete")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep over a stream of new documents."""
+    return drained(pending(file_stream(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id"), "pending")
+
+
+@query()
+def stream_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a stream, each key once within the cooldown."""
+    keyed = file_stream(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
+    return drained(suppressed_within(keyed, "key", "ts", "1 day"), "suppressed").select("event_id", "key")
+
+
+@query("""WITH e AS (SELECT user_id, ts, value FROM events), w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS d, sum(round(value * 100)::BIGINT) AS v FROM e GROUP BY ALL)
+SELECT user_id, strftime(d, '%Y-%m-%d') AS day, greatest(v - 5000, 0)::BIGINT AS used FROM w""")
+def usage_over_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Use above an allowance by day, never below zero."""
+    spent = F.sum(F.round(F.col("value") * 100).cast("long"))
+    daily = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(spent.alias("v"))
+    return daily.select("user_id", "day", F.greatest(F.col("v") - 5000, F.lit(0)).alias("used"))

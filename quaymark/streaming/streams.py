@@ -48,3 +48,14 @@ def windowed_counts(stream: DataFrame, time: str, key: str, window: str, late: s
         .groupBy(F.window(time, window), key)
         .agg(F.count("*").alias("n"))
     )
+
+
+def pending(stream: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Rows of a stream for which the table of results has none yet: what a sweep has to do."""
+    done = results.select(key).distinct().withColumn("_done", F.lit(True))
+    return stream.join(done, key, "left").where("_done IS NULL").drop("_done")
+
+
+def suppressed_within(stream: DataFrame, key: str, time: str, window: str) -> DataFrame:
+    """The first row of a key, and none of it again while the watermark keeps its state: an alert's cooldown."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, window).dropDuplicatesWithinWatermark([key])
