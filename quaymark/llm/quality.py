@@ -149,10 +149,15 @@ def _coarse(d2: Column) -> Column:
     return F.floor(64 * F.log1p(d2))
 
 
+def _few(strata: DataFrame) -> DataFrame:
+    """A table with a row for each stratum, written, so that the planner knows how small it is before it joins."""
+    return stored(strata, "quality-strata")
+
+
 def _first(rows: DataFrame) -> DataFrame:
     """Coordinatewise medians, and medians of the deviations from them as scales."""
     k = range(len(STATS))
-    middles = rows.groupBy("stratum").agg(*[F.expr(f"percentile({STATS[i]}, 0.5)").alias(f"q_{i}") for i in k])
+    middles = _few(rows.groupBy("stratum").agg(*[F.expr(f"percentile({STATS[i]}, 0.5)").alias(f"q_{i}") for i in k]))
     spread = rows.join(middles, "stratum").groupBy("stratum").agg(
         *[F.max(f"q_{i}").alias(f"q_{i}") for i in k],
         *[F.expr(f"percentile(floor(abs({STATS[i]} - q_{i})), 0.5)").alias(f"d_{i}") for i in k],
@@ -166,7 +171,7 @@ def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Mean and covariance of the rows closest under the last estimates."""
     k = range(len(STATS))
     near = _distance(rows, estimates).withColumn("coarse", _coarse(F.col("d2")))
-    limits = near.groupBy("stratum").agg(F.expr(f"percentile(coarse, {SHARE})").alias("limit"))
+    limits = _few(near.groupBy("stratum").agg(F.expr(f"percentile(coarse, {SHARE})").alias("limit")))
     inner = near.join(limits, "stratum").where(F.col("coarse") <= F.ceil("limit"))
     whole = lambda x: F.sum(x.cast("decimal(38,0)")).cast("double")  # noqa: E731  exact
     sums = inner.groupBy("stratum").agg(
@@ -210,7 +215,7 @@ def _verdicts(rows: DataFrame) -> DataFrame:
         .agg(F.expm1((F.expr("percentile(floor(64 * ln(1 + d2)), 0.5)") + 0.5) / 64).alias("middle"), F.count("*").alias("members"))
     )
     # a left join of the estimates: rows that failed the base rules may have no stratum
-    final = _distance(placed, estimates.join(scale, "stratum"))
+    final = _distance(placed, _few(estimates.join(scale, "stratum")))
     distance = F.col("d2") * CHI_MEDIAN / F.greatest(F.col("middle"), F.lit(0.5))
     outlier = F.coalesce((F.col("members") >= LEAST) & (F.col("distance") > CUTOFF), F.lit(False))
     return (
