@@ -68,12 +68,11 @@ _NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 class Node:
     """An element that isn't inline; ``out``: it or one above is left out."""
 
-    __slots__ = ("tag", "label", "parent", "children", "blocks", "out", "depth")
+    __slots__ = ("tag", "label", "parent", "children", "out", "depth")
 
     def __init__(self, tag: str, label: str, parent: Node | None, out: bool) -> None:
         self.tag, self.label, self.parent, self.out = tag, label, parent, out
         self.children: list[Node] = []
-        self.blocks: list[tuple[str, int]] = []
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -116,7 +115,6 @@ class Page:
         linked = sum(len(" ".join(t.split())) for t, inside in self.text if inside)
         self.text = []
         if text:
-            self.at.blocks.append((text, linked))
             self.blocks.append((self.at, text, linked))
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -299,7 +297,6 @@ def main_text(page: Page, reference: Reference, template: set[tuple[int, int]],
     """Blocks of the content of a page, joined by empty lines."""
     tree, number = Tree.of(page)
     match = align(tree, reference.tree)
-    articles: set[int] = set()
 
     def inside(node: Node) -> bool:
         while node:
