@@ -28,7 +28,8 @@ from quaymark.sources.shared import filesystem, new_path, stored
 
 END_ID = 2
 FRAME_TOKENS = 1 << 18
-#: Texts encoded in one call, so that a task holds few of them at a time.
+#: Characters of texts encoded in one call, and rows of a batch, so that a task holds few of them at a time.
+CHARACTERS = 3_000_000
 TEXTS = 256
 #: Frames that one reading task takes.
 READ_FRAMES = 4096
@@ -126,11 +127,23 @@ class FrameReader:
 def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """``(doc_id, ids with the end id)`` of the rows of Arrow batches, a few texts at a time."""
     encode, end = encoder(tokenizer).encode, np.array([END_ID], "<u4").tobytes()
+
+    def done() -> Iterator[tuple[int | None, np.ndarray]]:
+        for doc_id, ids in zip(names, encode(texts)):
+            yield doc_id, np.frombuffer(ids + end, "<u4")
+
+    names, texts, size = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(at, TEXTS)
-            for doc_id, ids in zip(some["doc_id"].to_pylist(), encode(some["text"].to_pylist())):
-                yield doc_id, np.frombuffer(ids + end, "<u4")
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            names.append(doc_id)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= CHARACTERS:
+                yield from done()
+                names, texts, size = [], [], 0
+    yield from done()
+    # a worker that waits for its next task keeps the newer words only
+    encoder(tokenizer).before = {}
 
 
 def write_frames(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:

@@ -36,6 +36,15 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _lowered(text: str) -> str:
+    """Latin-1 text in lower case, as the tokenizer sees it, so that fewer pieces differ; other text as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 def _around(piece: str, core: str) -> tuple[str, str, str]:
     """The marks before ``core``, it in lower case, and those after it; all before it, if it is empty."""
     start = piece.index(core) if core else len(piece)
@@ -62,7 +71,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without special tokens; a null text is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > MAX_WORDS:
             self.before, self.words = self.words, {"": b""}
         known = self._pieces(set().union(*split)).__getitem__
