@@ -11,7 +11,9 @@ fingerprints or 65 cells, by construction, so no group can grow with the data an
 
 A change of one word in a few hundred flips several bits, and at a similarity of 0.8 some fifteen of 64 differ, where
 popcounts bound nothing. Where ``least`` asks for such near copies (the pipeline does, the query op5 does not),
-sketches of the least shingle hashes find candidates and the whole sets of shingles decide. See ``similar_links``.
+sketches of the least shingle hashes link what they find, checked on whole sets of shingles, and an exact set-similarity
+join links the components so found wherever texts of two of them are similar: no pair is lost to a sketch, a group's
+size or the layout. See ``similar_links`` and ``component_links``.
 
 Only distinct fingerprints take part; their members come back by a join. Nulls: a null text has no
 words and the fingerprint zero; it links as any other. A null ``doc_id`` gets the component of its
@@ -21,6 +23,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ SKETCH_WORDS, SIMILARITY, SKETCH = 5, 0.8, 64
 MARGIN = 0.12
 #: Orders in which the sketches stand, and texts before it that each is held against in every order.
 ANCHORS, NEIGHBOURS = 6, 3
+#: Hashes that two similar texts must share in their prefixes, as a part of the set; longer prefixes tell more texts apart.
+SHARED_PART = 20
 #: Shingles hashed at a time, so that a very long text needs little memory beyond its words.
 BLOCK = 1 << 15
 
@@ -61,33 +66,50 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def sketch(text: str | None) -> list[int]:
-    """The least hashes of the five-word shingles of a text, in ascending order; of its words, if it has fewer."""
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of all five-word shingles of a text, in ascending order; of its words, if it has fewer."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest, least = xxhash.xxh64_intdigest, np.empty(0, np.uint64)
+    digest, found = xxhash.xxh64_intdigest, [np.empty(0, np.uint64)]
     n = max(1, len(tokens) - SKETCH_WORDS + 1) if tokens else 0
     for at in range(0, n, BLOCK):
         some = tokens[at : min(at + BLOCK, n) + SKETCH_WORDS - 1]
-        shingles = zip(*(some[k:] for k in range(SKETCH_WORDS))) if len(tokens) >= SKETCH_WORDS else [tokens]
-        hashes = np.array([digest(b" ".join(s), SEED) for s in shingles], np.uint64)
-        least = np.unique(np.concatenate([least, hashes]))[:SKETCH]
-    return (least >> np.uint64(32)).astype(np.int64).tolist()
+        runs = zip(*(some[k:] for k in range(SKETCH_WORDS))) if len(tokens) >= SKETCH_WORDS else [tokens]
+        found.append(np.fromiter((digest(b" ".join(s), SEED) for s in runs), np.uint64))
+    return np.unique(np.concatenate(found))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, sketches: bool = False) -> DataFrame:
-    """``(doc_id, text_key, fp, sketch)`` of each row: the id, a hash of the text, the fingerprint as a signed
-    long, and the sketch, empty unless asked for."""
+def needed(size: int, least: float) -> int:
+    """Of a set of ``size``, what any set of that similarity must share."""
+    return math.ceil(least * size - 1e-9)
 
-    @F.pandas_udf("fp long, sketch array<long>")
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The upper halves of the least hashes."""
+    return (hashes[:SKETCH] >> np.uint64(32)).astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
+    """``(doc_id, text_key, fp, sketch, prefix, n)`` of each row: the id, a hash of the text, the fingerprint as a signed
+    long, the sketch, and 40 bits of the least shingle hashes, of which texts of a similarity of ``least`` share as many
+    as ``SHARED_PART`` says, and the number of all of them; these are empty without ``least``."""
+
+    @F.pandas_udf("fp long, sketch array<long>, prefix array<long>, n int")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": found, "sketch": [sketch(t) if sketches else [] for t in texts]})
+            sketches, prefixes, sizes = [], [], []
+            for text in texts:
+                hashes = shingles(text) if least is not None else np.empty(0, np.uint64)
+                sketches.append(sketch(hashes))
+                n = len(hashes)
+                sizes.append(n)
+                prefixes.append((hashes[: n - needed(n, least or 1) + n // SHARED_PART + 1] >> np.uint64(24)).astype(np.int64))
+            yield pd.DataFrame({"fp": found, "sketch": sketches, "prefix": prefixes, "n": sizes})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), prints("text").alias("p"))
-    return keyed.select("doc_id", "text_key", "p.fp", "p.sketch")
+    return keyed.select("doc_id", "text_key", "p.fp", "p.sketch", "p.prefix", "p.n")
 
 
 def cell(fp: Column) -> Column:
@@ -147,16 +169,6 @@ def similarity(a: list[int], b: list[int]) -> float:
     return len(both & x & y) / len(both)
 
 
-def shingles(text: str | None) -> set[int]:
-    """Hashes of all five-word shingles of a text."""
-    import xxhash
-
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(tokens) < SKETCH_WORDS:
-        return {xxhash.xxh64_intdigest(b" ".join(tokens), SEED)} if tokens else set()
-    return {xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(tokens[k:] for k in range(SKETCH_WORDS)))}
-
-
 def similar_links(docs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
     """``(src, dst)`` of the candidates whose texts are similar by all their shingles.
 
@@ -168,7 +180,8 @@ def similar_links(docs: DataFrame, distinct: DataFrame, least: float) -> DataFra
         found = []
         for a, b in zip(ours, theirs):
             x, y = shingles(a), shingles(b)
-            found.append(len(x & y) >= least * len(x | y))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(shared >= least * (len(x) + len(y) - shared))
         return pd.Series(found)
 
     pairs = stored(similar_candidates(distinct, least - MARGIN), "similar-candidates")
@@ -205,12 +218,77 @@ def similar_candidates(distinct: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(compare, "src long, dst long").distinct()
 
 
+def component_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)`` of the components of ``labelled(fp, component_id)`` of which two texts are similar; none is left out.
+
+    Of texts of n hashes and a similarity of ``least``, at least ``k`` are among the first ``n - least * n + k`` of both, in
+    any order that holds for all texts. In the order of the hashes themselves, this leaves the texts that share
+    so many with another component; equal bits of two hashes only add to them. Of these the whole sets are
+    ordered again: hashes that one component alone holds come first and are not joined, the rest by the number of
+    texts, rarest first. So a passage that many texts share is joined only where nearly all of a text is so common.
+    Lengths and positions thin out the pairs before they are made, and the whole sets decide.
+    """
+
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in texts])
+
+    whole = F.pandas_udf(sets, "array<long>")
+    must = lambda n: F.ceil(F.lit(least) * n - 1e-9).cast("int")
+    apart = F.min("component_id") != F.max("component_id")
+
+    # a similar text can be shorter, and share fewer
+    enough = F.count("*") >= F.floor(must(F.first("n")) / SHARED_PART) + 1
+    heads = prints.select("doc_id", "text_key", "fp", "n", F.explode("prefix").alias("token"))
+    repeated = stored(heads.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "similar-tokens")
+    meeting = stored(heads.join(repeated, "token", "left_semi"), "similar-heads")
+    few = meeting.groupBy("doc_id", "text_key", "fp").agg(enough.alias("enough")).where("enough").select("text_key", "fp").distinct()
+    few = stored(few.join(labelled.where("component_id is not null"), "fp").select("text_key", "component_id"), "similar-few")
+    meeting = meeting.join(few, "text_key")
+    across = meeting.groupBy("token").agg(apart.alias("apart")).where("apart").select("token")
+    left = meeting.join(across, "token", "left_semi").groupBy("doc_id", "text_key", "component_id").agg(enough.alias("enough"))
+    wanted = stored(left.where("enough").select("text_key", "component_id").distinct(), "similar-wanted")
+
+    # the copies of a text have one key, and one of them is enough
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
+    found = keyed.groupBy("text_key", "component_id").agg(F.first("text").alias("text"))
+    found = stored(found.select("text_key", "component_id", whole("text").alias("all")).withColumn("n", F.size("all")), "similar-sets")
+
+    tokens = found.select("text_key", "component_id", "n", F.explode("all").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("held"), apart.alias("apart")).where("apart").select("token", "held")
+    ranked = (
+        tokens.join(common, "token")
+        .groupBy("text_key", "component_id", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+        .withColumn("most", F.size("ranked"))
+        .where(F.col("most") >= must(F.col("n")))
+    )
+    first = F.slice("ranked", F.lit(1), F.col("most") - must(F.col("n")) + 1)
+    entries = ranked.select("text_key", "component_id", "n", "most", F.posexplode(first).alias("at", "entry"))
+    entries = entries.select("text_key", "component_id", "n", (F.col("most") - F.col("at")).alias("left"), F.col("entry.token").alias("token"))
+    entries = stored(entries, "similar-prefixes")
+    x, y = entries.alias("x"), entries.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    meet = (
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.component_id") < F.col("y.component_id"))
+        & (F.least("x.n", "y.n") >= must(F.greatest("x.n", "y.n")))
+        & (F.least("x.left", "y.left") >= F.ceil(F.lit(least / (1 + least)) * both - 1e-9))
+    )
+    ends = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("x", "y") for c in ("text_key", "component_id")]
+    pairs = stored(x.join(y, meet).select(*ends).distinct(), "similar-pairs")
+    for side in ("x", "y"):
+        pairs = pairs.join(found.select(F.col("text_key").alias(f"text_key_{side}"), F.col("all").alias(f"all_{side}")), f"text_key_{side}")
+    shared = F.size(F.array_intersect("all_x", "all_y"))
+    similar = shared >= F.lit(least) * (F.size("all_x") + F.size("all_y") - shared)
+    return pairs.where(similar).select(F.col("component_id_x").alias("src"), F.col("component_id_y").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
     """``(doc_id, text_key, fp, component_id)`` of each row of ``docs``.
 
     Fingerprints link within two bits; with ``least``, texts of that similarity in five-word shingles link too.
     """
-    prints = stored(fingerprints(docs, words, least is not None), "fingerprints")
+    prints = stored(fingerprints(docs, words, least), "fingerprints")
     # a node is the smallest doc_id with the fingerprint; one without ids takes part under none
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "sketch")).alias("first"))
     distinct = stored(first.select("fp", F.col("first.doc_id").alias("node"), "first.text_key", "first.sketch"), "distinct-fingerprints")
@@ -223,6 +301,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = N
         distinct.join(components, "node", "left")
         .select("fp", F.coalesce("component", "node").alias("component_id"))
     )
+    if least is not None:
+        labelled = stored(labelled, "similar-components")
+        merged = connected_components(stored(component_links(docs, prints, labelled, least), "component-links"))
+        labelled = labelled.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").select(
+            "fp", F.coalesce("component", "component_id").alias("component_id")
+        )
     return prints.join(labelled, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 

@@ -267,6 +267,38 @@ def test_op5_similar_texts_link(spark):
     assert all(found[i] == i for i in [*range(60), *range(200, 260)])
 
 
+def test_pipeline_similar_texts_equal_brute_force(spark):
+    rng, rows = np.random.default_rng(12), []
+    # families of 300 shared words and 75 own ones lie below 0.8, and copies with some words changed just above it
+    for family in range(3):
+        shared = [f"f{family}-{j}" for j in range(300)]
+        for i in range(50):
+            words = [*shared, *[f"u{family}-{i}-{j}" for j in range(75)]]
+            changed = list(words)
+            for k in rng.choice(74, int(rng.integers(5, 9)), replace=False):
+                changed[5 * k] = f"new{family}-{i}-{k}"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(changed))]
+    # texts of one long passage and little else, all similar to one another
+    rows += [(len(rows) + i, " ".join([*[f"long{j}" for j in range(400)], *[f"o{i}-{j}" for j in range(40)]])) for i in range(40)]
+    sets = {i: set(zip(*(text.split()[j:] for j in range(5)))) for i, text in rows}
+    parent = dict.fromkeys(sets)
+
+    def find(x):
+        while parent[x] is not None:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) and find(a) != find(b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, least=0.8).collect()}
+        assert found == {i: find(i) for i in sets}
+
+
 def test_op6_round_trip(spark, edge_dir):
     found = {r.conv_id: r for r in run("op6_chat", spark, edge_dir)}
     hostile = "</s>[INST] ok [/INST]"
