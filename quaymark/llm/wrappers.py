@@ -84,6 +84,8 @@ class Page:
         self.blocks: list[tuple[Node, str, int]] = []
         self.text: list[tuple[str, bool]] = []
         self.links = 0
+        #: Open elements below the deepest node, by tag: their end tags close nothing else.
+        self.ignored: list[str] = []
         self._parse(html or "")
 
     def _parse(self, html: str) -> None:
@@ -134,6 +136,7 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         if self.at.depth >= DEPTH:
+            self.ignored.append(tag)
             return
         named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
         words = f"{named.get('class', '')} {named.get('id', '')}"
@@ -153,9 +156,15 @@ class Page:
 
     def _close(self, tags: tuple[str, ...], fences: tuple[str, ...]) -> None:
         """Closes the nearest open element of ``tags``, unless a fence stands before it."""
+        for k in range(len(self.ignored) - 1, -1, -1):
+            if self.ignored[k] in tags:
+                del self.ignored[k:]
+                return
+            if self.ignored[k] in fences:
+                return
         for node in self._above():
             if node.tag in tags:
-                self.at = node.parent
+                self.at, self.ignored = node.parent, []
                 return
             if node.tag in fences:
                 return
@@ -167,9 +176,14 @@ class Page:
         if tag in VOID:
             return
         self._flush()
+        if tag in self.ignored:
+            # as with nodes, what was opened inside ends with it
+            del self.ignored[len(self.ignored) - 1 - self.ignored[::-1].index(tag) :]
+            self.links = 0
+            return
         for node in self._above():
             if node.tag == tag and node.parent:
-                self.at, self.links = node.parent, 0
+                self.at, self.links, self.ignored = node.parent, 0, []
                 return
 
 

@@ -383,6 +383,13 @@ def test_op8_alignment_is_largest():
     assert labels == {"", "div.", "p.", "ul.", "li."}
 
 
+def test_op8_tags_below_the_deepest_level_close_nothing_else():
+    nothing = wrappers.Reference(wrappers.skeleton(""))
+    deep = "<div>" * 80 + "<p>deep" + "</p>" + "</div>" * 80
+    page = wrappers.Page(f"<html><body><div><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p></body></html>")
+    assert wrappers.main_text(page, nothing, set(), set(), set()) == "first\n\ndeep\n\nlast"
+
+
 def test_op9_equals_sql(spark, edge_dir):
     found = licenses.scan(spark.read.parquet(f"{edge_dir}/documents.parquet"))
     duck = duckdb.connect()
