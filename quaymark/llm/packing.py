@@ -29,7 +29,7 @@ SEQUENCE = 4096
 OPEN_WINDOWS = 32
 #: The least gap that is filled with a cut of a piece; smaller ones stay padding.
 LEAST_CUT = 32
-FAN_IN = 64
+FAN_IN = 16
 ROWS = 512
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, merge boolean"

@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from quaymark.sources.shared import filesystem, new_path, stored
 
 END_ID = 2
 FRAME_TOKENS = 1 << 18
-#: Characters of texts encoded in one call, and rows of a batch, so that a task holds few of them at a time.
-CHARACTERS = 3_000_000
+#: Bytes of texts encoded in one call, and rows of a batch, so that a task holds few of them at a time.
+CHARACTERS = 4_000_000
 TEXTS = 256
 #: Frames that one reading task takes.
 READ_FRAMES = 4096
@@ -126,24 +127,19 @@ class FrameReader:
 
 def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """``(doc_id, ids with the end id)`` of the rows of Arrow batches, a few texts at a time."""
-    encode, end = encoder(tokenizer).encode, np.array([END_ID], "<u4").tobytes()
-
-    def done() -> Iterator[tuple[int | None, np.ndarray]]:
-        for doc_id, ids in zip(names, encode(texts)):
-            yield doc_id, np.frombuffer(ids + end, "<u4")
-
-    names, texts, size = [], [], 0
+    words = encoder(tokenizer)
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            names.append(doc_id)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size >= CHARACTERS:
-                yield from done()
-                names, texts, size = [], [], 0
-    yield from done()
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            # a very long text comes alone
+            to = max(at + 1, int(np.searchsorted(sizes, CHARACTERS + (sizes[at - 1] if at else 0), side="right")))
+            ids, starts = words.encode(batch["text"].slice(at, to - at), END_ID)
+            for n, doc_id in enumerate(batch["doc_id"].slice(at, to - at).to_pylist()):
+                yield doc_id, ids[starts[n] : starts[n + 1]]
+            at = to
     # a worker that waits for its next task keeps the newer words only
-    encoder(tokenizer).before = {}
+    words.before = {}
 
 
 def write_frames(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
@@ -173,9 +169,10 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         )
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.col("doc_id"))
-        .sortWithinPartitions("doc_id")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("nth"))
+        .repartitionByRange("doc_id", "nth")
+        .sortWithinPartitions("doc_id", "nth")
+        .select("doc_id", "text")
     )
     return stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
