@@ -1,21 +1,16 @@
 """SimHash near-duplicates: a popcount embedding, a grid range join, an exact check, components.
 
 A fingerprint of 64 bits is seen as 32 segments of two bits. Its vector of segment popcounts, packed into
-one long, is its cell. Two fingerprints that differ in at most two
-bits have cells at a Manhattan distance of two or less, so a point of the grid lies within one step
-of both: cells meet at such points, and fingerprints whose cells meet no others are done. For the
-rest the same midpoint idea settles the matter exactly: they differ in two bits or fewer if and only
-if some 64-bit word lies within one bit of both. All fingerprints at such a word are linked to each
-other, so each is joined to the smallest alone. A word or grid point is met by no more than 65
-fingerprints or 65 cells, by construction, so no group can grow with the data and no pair is lost.
+one long, is its cell. Two fingerprints that differ in at most two bits have cells at a Manhattan distance of two
+or less, so a point of the grid lies within one step of both: cells are joined at such points. No more
+than 65 cells meet at one, by construction, so no group grows with the data. The fingerprints of two cells that meet are paired
+and checked by their differing bits; a fingerprint has no more than 2,080 others within two bits.
 
 A change of one word in a few hundred flips several bits, and at a similarity of 0.8 some fifteen of 64 differ, where
-popcounts bound nothing. Where ``least`` asks for such near copies (the pipeline does, the query op5 does not),
-sketches of the least shingle hashes link what they find, checked on whole sets of shingles, and an exact set-similarity
-join links the components so found wherever texts of two of them are similar: no pair is lost to a sketch, a group's
-size or the layout. See ``similar_links`` and ``component_links``.
+popcounts bound nothing. Where ``least`` asks for such near copies (the pipeline does, the query op5 does not), an exact
+set-similarity join of five-word shingles links them too: see ``similar_links``.
 
-Only distinct fingerprints take part; their members come back by a join. Nulls: a null text has no
+Only distinct fingerprints and texts take part; their members come back by a join. Nulls: a null text has no
 words and the fingerprint zero; it links as any other. A null ``doc_id`` gets the component of its
 fingerprint, and null if no document of the component has an id. Repeated ids are kept as they are.
 An empty table gives no rows.
@@ -28,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +31,8 @@ from quaymark.sources.shared import stored
 
 WORDS = 3
 SEED = 42
-#: For texts that are similar but more than two bits apart: words of a shingle, least similarity, hashes in a sketch.
-SKETCH_WORDS, SIMILARITY, SKETCH = 5, 0.8, 64
-#: Sketches estimate a similarity with a standard error of 0.05; candidates may fall short by so much.
-MARGIN = 0.12
-#: Orders in which the sketches stand, and texts before it that each is held against in every order.
-ANCHORS, NEIGHBOURS = 6, 3
+#: For texts that are similar but more than two bits apart: words of a shingle and least similarity.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Hashes that two similar texts must share in their prefixes, as a part of the set; longer prefixes tell more texts apart.
 SHARED_PART = 20
 #: Shingles hashed at a time, so that a very long text needs little memory beyond its words.
@@ -72,10 +62,10 @@ def shingles(text: str | None) -> np.ndarray:
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     digest, found = xxhash.xxh64_intdigest, [np.empty(0, np.uint64)]
-    n = max(1, len(tokens) - SKETCH_WORDS + 1) if tokens else 0
+    n = max(1, len(tokens) - SHINGLE_WORDS + 1) if tokens else 0
     for at in range(0, n, BLOCK):
-        some = tokens[at : min(at + BLOCK, n) + SKETCH_WORDS - 1]
-        runs = zip(*(some[k:] for k in range(SKETCH_WORDS))) if len(tokens) >= SKETCH_WORDS else [tokens]
+        some = tokens[at : min(at + BLOCK, n) + SHINGLE_WORDS - 1]
+        runs = zip(*(some[k:] for k in range(SHINGLE_WORDS))) if len(tokens) >= SHINGLE_WORDS else [tokens]
         found.append(np.fromiter((digest(b" ".join(s), SEED) for s in runs), np.uint64))
     return np.unique(np.concatenate(found))
 
@@ -85,31 +75,25 @@ def needed(size: int, least: float) -> int:
     return math.ceil(least * size - 1e-9)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of the least hashes."""
-    return (hashes[:SKETCH] >> np.uint64(32)).astype(np.int64)
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
-    """``(doc_id, text_key, fp, sketch, prefix, n)`` of each row: the id, a hash of the text, the fingerprint as a signed
-    long, the sketch, and 40 bits of the least shingle hashes, of which texts of a similarity of ``least`` share as many
-    as ``SHARED_PART`` says, and the number of all of them; these are empty without ``least``."""
+    """``(doc_id, text_key, fp, n, prefix)`` of each row: the id, a hash of the text, the fingerprint as a signed
+    long, the number of shingles, and 40 bits of the least shingle hashes, of which texts of a similarity of ``least`` share as many
+    as ``SHARED_PART`` says; the last two are empty without ``least``."""
 
-    @F.pandas_udf("fp long, sketch array<long>, prefix array<long>, n int")
+    @F.pandas_udf("fp long, n int, prefix array<long>")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            sketches, prefixes, sizes = [], [], []
+            sizes, prefixes = [], []
             for text in texts:
                 hashes = shingles(text) if least is not None else np.empty(0, np.uint64)
-                sketches.append(sketch(hashes))
                 n = len(hashes)
                 sizes.append(n)
                 prefixes.append((hashes[: n - needed(n, least or 1) + n // SHARED_PART + 1] >> np.uint64(24)).astype(np.int64))
-            yield pd.DataFrame({"fp": found, "sketch": sketches, "prefix": prefixes, "n": sizes})
+            yield pd.DataFrame({"fp": found, "n": sizes, "prefix": prefixes})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), prints("text").alias("p"))
-    return keyed.select("doc_id", "text_key", "p.fp", "p.sketch", "p.prefix", "p.n")
+    return keyed.select("doc_id", "text_key", "p.fp", "p.n", "p.prefix")
 
 
 def cell(fp: Column) -> Column:
@@ -133,154 +117,121 @@ def _signed(word: int) -> Column:
     return F.lit(word - (1 << 64) if word >> 63 else word).cast("long")
 
 
-def _flips(fp: Column) -> Column:
-    """The fingerprint and all words one bit away."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    return F.concat(F.array(fp), F.transform(bits, lambda bit: fp.bitwiseXOR(bit)))
-
-
 def links(distinct: DataFrame) -> DataFrame:
-    """``(src, dst)`` that join all of ``distinct(fp, node)`` within two bits of each other."""
-    placed = distinct.withColumn("cell", cell(F.col("fp")))
+    """``(src, dst)``: all pairs of ``distinct(fp, node)`` within two bits of each other."""
+    placed = distinct.select("node", "fp", cell(F.col("fp")).alias("cell"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    meeting = (
-        cells.select("cell", "n", F.explode(_steps(F.col("cell"))).alias("point"))
-        .groupBy("point")
-        .agg(F.sum("n").alias("n"), F.collect_list("cell").alias("cells"))
-        .where("n > 1")
-        .select(F.explode("cells").alias("cell"))
-        .distinct()
-    )
-    near = placed.join(meeting, "cell", "left_semi")
-    words = near.select("node", F.explode(_flips(F.col("fp"))).alias("word"))
-    met = words.groupBy("word").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    return (
-        met.select(F.explode("nodes").alias("src"), F.array_min("nodes").alias("dst")).where("src <> dst").distinct()
+    # few and short rows, of which many are made: over all tasks, not as few as their size would need
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = cells.repartition(tasks, "cell").select("cell", F.explode(_steps(F.col("cell"))).alias("point"))
+    met = points.groupBy("point").agg(F.sort_array(F.collect_list("cell")).alias("cells")).where(F.size("cells") > 1)
+    later = F.expr("flatten(transform(cells, (a, i) -> transform(slice(cells, i + 2, size(cells)), b -> struct(a AS a, b AS b))))")
+    across = met.select(F.explode(later).alias("pair")).select("pair.a", "pair.b").distinct()
+    within = cells.where("n > 1").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    ends = [placed.select(F.col("cell").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("node").alias(f"node_{x}")) for x in ("a", "b")]
+    paired = across.union(within).join(ends[0], "a").join(ends[1], "b")
+    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2
+    # a pair within one cell comes in both orders, and with itself
+    once = (F.col("a") != F.col("b")) | (F.col("fp_a") < F.col("fp_b"))
+    return paired.where(close & once).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)``, hashes of texts, that connect all texts of a similarity of ``least`` or more in their shingles.
+
+    Of texts of n hashes and a similarity of ``least``, at least ``k`` are among the first ``n - least * n + k`` of both, in
+    any order that holds for all texts. In the order of the hashes themselves, this leaves the few texts that share
+    so many with others. Each of these is held against the first and the last text at each of its tokens, and what is
+    similar becomes one group; so a large group of like texts is not paired with itself. Groups that still share enough
+    tokens with others are joined exactly, see ``_set_join``.
+    """
+    distinct = prints.where("n > 0").groupBy("text_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = distinct.select("text_key", "n", F.explode("prefix").alias("token"))
+    repeated = heads.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+    meeting = stored(heads.join(repeated, "token", "left_semi"), "similar-heads")
+    # a similar text can be shorter, and share fewer
+    enough = F.count("*") >= F.floor(F.max(_must("n", least)) / SHARED_PART) + 1
+    few = stored(meeting.groupBy("text_key").agg(enough.alias("enough")).where("enough").select("text_key"), "similar-few")
+    sets = _sets(docs, few)
+    meeting = meeting.join(few, "text_key", "left_semi")
+    ends = meeting.groupBy("token").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
+    pairs = (
+        meeting.join(ends, "token")
+        .select("text_key", "n", F.explode(F.array("low", "high")).alias("other"))
+        .where("text_key <> other")
+        .groupBy("text_key", "other")
+        .agg((F.count("*") >= F.floor(F.max(_must("n", least)) / (2 * SHARED_PART)) + 1).alias("likely"))
+        .where("likely")
     )
+    found = stored(_verified(pairs.select(F.least("text_key", "other").alias("src"), F.greatest("text_key", "other").alias("dst")).distinct(), sets, least), "similar-first")
+    groups = stored(connected_components(found), "similar-groups")
+    group = F.coalesce("component", "text_key").alias("group")
+    meeting = meeting.join(groups.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", "n", "token", group)
+    across = meeting.groupBy("token").agg((F.min("group") < F.max("group")).alias("apart")).where("apart").select("token")
+    left = meeting.join(across, "token", "left_semi").groupBy("text_key", "group").agg(enough.alias("enough")).where("enough")
+    return found.union(_set_join(sets.join(left.select("text_key", "group"), "text_key"), sets, least))
 
 
-def similarity(a: list[int], b: list[int]) -> float:
-    """Jaccard similarity of the shingles of two texts from their sketches; exact if both are whole."""
-    both, x, y = set(a) | set(b), set(a), set(b)
-    if not both:
-        return 1.0
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        both = set(sorted(both)[:SKETCH])
-    return len(both & x & y) / len(both)
+def _must(n: str, least: float) -> Column:
+    """Of a set of ``n``, what any set of that similarity must share."""
+    return F.ceil(F.lit(least) * F.col(n) - 1e-9).cast("int")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """``(src, dst)`` of the candidates whose texts are similar by all their shingles.
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(text_key, n, all)``: all shingles of the texts of ``wanted``. The copies of a text have one key, and one of them is enough."""
 
-    ``distinct(node, text_key, sketch)``; only the texts of candidates are fetched.
-    """
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in texts])
 
-    @F.pandas_udf("boolean")
-    def similar(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-        found = []
-        for a, b in zip(ours, theirs):
-            x, y = shingles(a), shingles(b)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(shared >= least * (len(x) + len(y) - shared))
-        return pd.Series(found)
-
-    pairs = stored(similar_candidates(distinct, least - MARGIN), "similar-candidates")
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", "text_key"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("text_key"), "text")
-    found = stored(texts.join(wanted, ["node", "text_key"], "left_semi").select("node", "text"), "similar-texts")
-    left, right = (found.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")) for end in ("src", "dst"))
-    return pairs.join(left, "src").join(right, "dst").where(similar("text_src", "text_dst")).select("src", "dst").distinct()
-
-
-def similar_candidates(distinct: DataFrame, least: float) -> DataFrame:
-    """``(src, dst)`` of texts with similar sketches.
-
-    Texts stand in the order of each of their ``ANCHORS`` least hashes and the rest of the sketch, and
-    each is held against the ``NEIGHBOURS`` before it under the same anchor. A frequent anchor, as of a passage that many
-    texts share, is split over tasks by the rest of the sketch, so the work is linear whatever recurs.
-    """
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi")
+    found = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+    return stored(found.select("text_key", F.pandas_udf(whole, "array<long>")("text").alias("all")).withColumn("n", F.size("all")), "similar-sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple] = []
-        for batch in batches:
-            out = []
-            offsets, values = batch["sketch"].offsets.to_pylist(), batch["sketch"].values.to_numpy()
-            for i, (anchor, node) in enumerate(zip(batch["anchor"].to_pylist(), batch["node"].to_pylist())):
-                own = values[offsets[i] : offsets[i + 1]].tolist()
-                before = [x for x in before[-NEIGHBOURS:] if x[0] == anchor]
-                out += [(node, other) for _, other, theirs in before if other != node and similarity(own, theirs) >= least]
-                before.append((anchor, node, own))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["src", "dst"])
 
-    anchored = distinct.select("node", "sketch", F.explode(F.slice("sketch", 1, ANCHORS)).alias("anchor"))
-    ordered = anchored.repartitionByRange(F.col("anchor"), F.col("sketch")).sortWithinPartitions("anchor", "sketch", "node")
-    return ordered.mapInArrow(compare, "src long, dst long").distinct()
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(src, dst)`` that are similar by their whole sets."""
+    sizes = [sets.select(F.col("text_key").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst")]
+    near = F.least("n_src", "n_dst") >= F.ceil(F.lit(least) * F.greatest("n_src", "n_dst") - 1e-9)
+    pairs = stored(pairs.join(sizes[0], "src").join(sizes[1], "dst").where(near).select("src", "dst"), "similar-pairs")
+    for x in ("src", "dst"):
+        pairs = pairs.join(sets.select(F.col("text_key").alias(x), F.col("all").alias(f"all_{x}")), x)
+    shared = F.size(F.array_intersect("all_src", "all_dst"))
+    return pairs.where(shared >= F.lit(least) * (F.size("all_src") + F.size("all_dst") - shared) - 1e-9).select("src", "dst")
 
 
-def component_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
-    """``(src, dst)`` of the components of ``labelled(fp, component_id)`` of which two texts are similar; none is left out.
+def _set_join(grouped: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)``: all texts of different groups of ``grouped(text_key, n, all, group)`` that are similar.
 
-    Of texts of n hashes and a similarity of ``least``, at least ``k`` are among the first ``n - least * n + k`` of both, in
-    any order that holds for all texts. In the order of the hashes themselves, this leaves the texts that share
-    so many with another component; equal bits of two hashes only add to them. Of these the whole sets are
-    ordered again: hashes that one component alone holds come first and are not joined, the rest by the number of
-    texts, rarest first. So a passage that many texts share is joined only where nearly all of a text is so common.
-    Lengths and positions thin out the pairs before they are made, and the whole sets decide.
+    Tokens are ordered by the number of texts that hold them, rarest first; those that one text alone holds meet nothing.
+    The longer text of a pair looks up its first ``n - least * n + 1`` tokens, and the shorter one is found by its first
+    ``n - 2 * least / (1 + least) * n + 1`` (prefix filter); lengths and positions thin out the pairs as they are
+    made, and the whole sets decide. So a passage that many texts share is looked up only where nearly all of a text is so common.
     """
-
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts])
-
-    whole = F.pandas_udf(sets, "array<long>")
-    must = lambda n: F.ceil(F.lit(least) * n - 1e-9).cast("int")
-    apart = F.min("component_id") != F.max("component_id")
-
-    # a similar text can be shorter, and share fewer
-    enough = F.count("*") >= F.floor(must(F.first("n")) / SHARED_PART) + 1
-    heads = prints.select("doc_id", "text_key", "fp", "n", F.explode("prefix").alias("token"))
-    repeated = stored(heads.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "similar-tokens")
-    meeting = stored(heads.join(repeated, "token", "left_semi"), "similar-heads")
-    few = meeting.groupBy("doc_id", "text_key", "fp").agg(enough.alias("enough")).where("enough").select("text_key", "fp").distinct()
-    few = stored(few.join(labelled.where("component_id is not null"), "fp").select("text_key", "component_id"), "similar-few")
-    meeting = meeting.join(few, "text_key")
-    across = meeting.groupBy("token").agg(apart.alias("apart")).where("apart").select("token")
-    left = meeting.join(across, "token", "left_semi").groupBy("doc_id", "text_key", "component_id").agg(enough.alias("enough"))
-    wanted = stored(left.where("enough").select("text_key", "component_id").distinct(), "similar-wanted")
-
-    # the copies of a text have one key, and one of them is enough
-    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
-    found = keyed.groupBy("text_key", "component_id").agg(F.first("text").alias("text"))
-    found = stored(found.select("text_key", "component_id", whole("text").alias("all")).withColumn("n", F.size("all")), "similar-sets")
-
-    tokens = found.select("text_key", "component_id", "n", F.explode("all").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("held"), apart.alias("apart")).where("apart").select("token", "held")
+    tokens = grouped.select("text_key", F.explode("all").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     ranked = (
         tokens.join(common, "token")
-        .groupBy("text_key", "component_id", "n")
+        .groupBy("text_key")
         .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+        .join(grouped.select("text_key", "n", "group"), "text_key")
         .withColumn("most", F.size("ranked"))
-        .where(F.col("most") >= must(F.col("n")))
+        .where(F.col("most") >= _must("n", least))
     )
-    first = F.slice("ranked", F.lit(1), F.col("most") - must(F.col("n")) + 1)
-    entries = ranked.select("text_key", "component_id", "n", "most", F.posexplode(first).alias("at", "entry"))
-    entries = entries.select("text_key", "component_id", "n", (F.col("most") - F.col("at")).alias("left"), F.col("entry.token").alias("token"))
+    first = F.slice("ranked", F.lit(1), F.col("most") - _must("n", least) + 1)
+    entries = ranked.select("text_key", "group", "n", "most", F.posexplode(first).alias("at", "entry"))
+    found_by = F.col("at") <= F.col("most") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9)
+    entries = entries.select("text_key", "group", "n", (F.col("most") - F.col("at")).alias("left"), F.col("entry.token").alias("token"), found_by.alias("found_by"))
     entries = stored(entries, "similar-prefixes")
-    x, y = entries.alias("x"), entries.alias("y")
+    x, y = entries.alias("x"), entries.where("found_by").alias("y")
     both = F.col("x.n") + F.col("y.n")
     meet = (
         (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.component_id") < F.col("y.component_id"))
-        & (F.least("x.n", "y.n") >= must(F.greatest("x.n", "y.n")))
+        & (F.col("x.group") != F.col("y.group"))
+        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.text_key") < F.col("x.text_key"))))
+        & (F.col("y.n") >= F.ceil(F.lit(least) * F.col("x.n") - 1e-9))
         & (F.least("x.left", "y.left") >= F.ceil(F.lit(least / (1 + least)) * both - 1e-9))
     )
-    ends = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("x", "y") for c in ("text_key", "component_id")]
-    pairs = stored(x.join(y, meet).select(*ends).distinct(), "similar-pairs")
-    for side in ("x", "y"):
-        pairs = pairs.join(found.select(F.col("text_key").alias(f"text_key_{side}"), F.col("all").alias(f"all_{side}")), f"text_key_{side}")
-    shared = F.size(F.array_intersect("all_x", "all_y"))
-    similar = shared >= F.lit(least) * (F.size("all_x") + F.size("all_y") - shared)
-    return pairs.where(similar).select(F.col("component_id_x").alias("src"), F.col("component_id_y").alias("dst")).distinct()
+    return _verified(x.join(y, meet).select(F.col("x.text_key").alias("src"), F.col("y.text_key").alias("dst")).distinct(), sets, least)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
@@ -290,24 +241,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = N
     """
     prints = stored(fingerprints(docs, words, least), "fingerprints")
     # a node is the smallest doc_id with the fingerprint; one without ids takes part under none
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "sketch")).alias("first"))
-    distinct = stored(first.select("fp", F.col("first.doc_id").alias("node"), "first.text_key", "first.sketch"), "distinct-fingerprints")
-    named = distinct.where("node is not null")
-    edges = links(named)
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
+    edges = links(distinct.where("node is not null"))
     if least is not None:
-        edges = edges.union(similar_links(docs, named, least))
+        # the texts stand for their fingerprints
+        of = stored(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).join(distinct, "fp").select("text_key", "node"), "text-nodes")
+        similar = similar_links(docs, prints, least)
+        for end in ("src", "dst"):
+            similar = similar.join(of.withColumnRenamed("text_key", end), end).drop(end).withColumnRenamed("node", end)
+        edges = edges.union(similar.select("src", "dst"))
     components = connected_components(edges)
-    labelled = (
-        distinct.join(components, "node", "left")
-        .select("fp", F.coalesce("component", "node").alias("component_id"))
-    )
-    if least is not None:
-        labelled = stored(labelled, "similar-components")
-        merged = connected_components(stored(component_links(docs, prints, labelled, least), "component-links"))
-        labelled = labelled.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").select(
-            "fp", F.coalesce("component", "component_id").alias("component_id")
-        )
-    return prints.join(labelled, "fp").select("doc_id", "text_key", "fp", "component_id")
+    labelled = distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "text_key", "fp").join(labelled, "fp")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, least: float | None = SIMILARITY) -> DataFrame:
