@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     of edges does not grow. Every round is written to the shared folder, so that a lost executor
     costs no earlier round. Self loops make a node known; null ends are ignored.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    pairs = stored(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"), "components-pairs")
     nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "components-nodes")
     current = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     mark = _mark(current)
