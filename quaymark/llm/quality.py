@@ -2,15 +2,20 @@
 
 For each language and source, a minimum-covariance-determinant estimate of location and scatter is made of
 five transformed statistics of the texts: log of the mean word length, and square roots of the shares of
-upper-case letters, of ASCII marks, of the symbols ``#*$%&|<>`` and of duplicate lines. It starts from
-coordinatewise medians and deviations from them; concentration steps then take mean and
-covariance over the three quarters of the rows that lie closest under the last estimate. A document is
-rejected if its squared Mahalanobis distance, scaled by the stratum's median, passes ``CUTOFF``.
+upper-case letters, of ASCII marks, of the symbols ``#*$%&|<>`` and of duplicate lines. Short texts scatter more, so
+each statistic is drawn towards its median by the root of ``n / (n + k)``, n being the words of the text.
+
+Three orders by deviations from the medians start the estimate (sum of squares, largest, sum of bounded squares). Concentration
+steps then take mean and covariance over the three quarters of the rows that lie closest under the last estimate, until
+the determinant falls no more; of the three, the least determinant counts. The cube root of a squared Mahalanobis
+distance is nearly normal. Its centre and spread are taken from the median and the upper quartile of the stratum, weighed
+with those of the language as if ``PRIOR`` rows came from there, and are never less than those of chi-square. A
+document is rejected beyond ``Z`` spreads, a false-positive rate of 1 in 10,000 for normal roots. No stratum is too small for the
+rule: least standard deviations keep a small one from rejecting what is near.
 
 Statistics are kept as whole multiples of 1/``GRID``, so sums are exact and the verdicts do not hang on the
-order in which rows are added. All aggregation is per stratum with partial sums before the shuffle, so a
-source with a third of all rows costs no task more than others. Strata of under ``LEAST`` rows are pooled by
-language, and then over all languages; if even these are few, only the base rules decide.
+order in which rows are added. All aggregation is per stratum with partial sums and counts before the shuffle, so a
+source with a third of all rows costs no task more than others; quantiles come from counts of grid values.
 
 Nulls: a null text has no words and fails the base rules; a null language or source is a value like any
 other. Repeated rows count as often as they occur. An empty table gives no rows.
@@ -18,22 +23,28 @@ other. Repeated rows count as often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.sources.shared import stored
 
 WINDOW = 8
 GRID = 4096
-LEAST = 50
-STEPS = 3
 SHARE = 0.75
-#: Median of chi-square with five degrees of freedom: distances are scaled to have it as their median.
-CHI_MEDIAN = 4.351
-#: Far beyond any quantile of chi-square: texts are not normal, and clean ones are to stay.
-CUTOFF = 300.0
+#: Concentration steps at most; they end as a rule after three to six.
+STEPS = 30
+#: Rejected beyond so many spreads: the normal quantile of 0.9999.
+Z = 3.72
+#: Rows that the language's centre and spread weigh in those of a stratum.
+PRIOR = 30
+#: Centre and spread of the cube roots of chi-square with five degrees of freedom.
+CHI_CENTRE, CHI_SPREAD = 1.632, 0.365
+#: The upper quartile of the standard normal distribution.
+QUARTILE = 0.6745
 #: Least standard deviation of each statistic, so that a stratum with hardly any spread rejects nothing near.
-FLOORS = (0.06, 0.05, 0.04, 0.05, 0.12)
+FLOORS = (0.02, 0.01, 0.01, 0.02, 0.1)
+#: Words at which a statistic is drawn half of the way (in variance) to its median; lines are fewer than words.
+DRAWN = (200, 200, 200, 200, 1000)
 STATS = tuple(f"s{i}" for i in range(len(FLOORS)))
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -106,92 +117,111 @@ def _statistics() -> list[Column]:
     return [F.floor(x * GRID + 0.5).cast("long").alias(s) for x, s in zip(raw, STATS)]
 
 
-def _strata(rows: DataFrame) -> DataFrame:
-    """The stratum of each language and source: itself, or the pool of the small ones."""
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST
-    pools = sizes.where(small).groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n").alias("pool"))
-    named = sizes.join(pools, F.col("lang").eqNullSafe(F.col("pool_lang")), "left")
-    stratum = (
-        F.when(~small, F.struct("lang", "source", F.lit(0).alias("level")))
-        .when(F.col("pool") >= LEAST, F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(1).alias("level")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(2).alias("level")))
-    )
-    return named.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.xxhash64(F.to_json(stratum)).alias("stratum"))
+def _quantiles(values: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Of each group, the least ``value`` that has a share of all values at or below it; from counts of values."""
+    times = F.sum("times") if "times" in values.columns else F.count("*")
+    counts = values.groupBy(*keys, "value").agg(times.alias("times"))
+    whole = Window.partitionBy(*keys)
+    # no more rows in a group than grid values
+    placed = counts.select(*keys, "value", F.sum("times").over(whole.orderBy("value")).alias("upto"), F.sum("times").over(whole).alias("all"))
+    return placed.groupBy(*keys).agg(F.max("all").alias("members"), *[F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("value"))).alias(name) for name, share in shares.items()])
 
 
-def _cholesky(estimates: DataFrame) -> DataFrame:
-    """From means ``m_*`` and covariances ``c_*_*`` to the lower triangle ``l_*_*``."""
-    k = len(STATS)
-    for j in range(k):
-        pivot = F.col(f"c_{j}_{j}") - sum((F.pow(f"l_{j}_{q}", F.lit(2)) for q in range(j)), F.lit(0.0))
-        estimates = estimates.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(1e-9))))
-        for i in range(j + 1, k):
-            rest = F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{q}") * F.col(f"l_{j}_{q}") for q in range(j)), F.lit(0.0))
-            estimates = estimates.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
-    names = [f"l_{i}_{j}" for i in range(k) for j in range(i + 1)]
-    return estimates.select("stratum", *[f"m_{i}" for i in range(k)], *names)
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """``(stratum, name_0, ...)``: the medians of some whole numbers."""
+    each = rows.select("stratum", F.posexplode(F.array(*values)).alias("stat", "value"))
+    found = _quantiles(each, ["stratum", "stat"], {"middle": 0.5})
+    return found.groupBy("stratum").agg(*[F.max(F.when(F.col("stat") == i, F.col("middle"))).alias(f"{name}_{i}") for i in range(len(values))])
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance under their stratum's estimate, else null."""
-    kept = [*rows.columns, *[c for c in ("middle", "members") if c in estimates.columns]]
-    joined = rows.join(estimates, "stratum", "left")
-    for i, s in enumerate(STATS):
-        rest = F.col(s) / GRID - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
-        joined = joined.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.pow(f"y_{i}", F.lit(2)) for i in range(len(STATS))), F.lit(0.0))
-    return joined.select(*kept, d2.alias("d2"))
+def _drawn() -> dict[str, Column]:
+    """The statistics drawn towards their medians ``q_*``."""
+    share = lambda k: F.sqrt(F.col("n_words") / (F.col("n_words") + k))
+    return {s: F.floor(F.col(f"q_{i}") + (F.col(s) - F.col(f"q_{i}")) * share(k) + 0.5).cast("long") for i, (s, k) in enumerate(zip(STATS, DRAWN))}
 
 
 def _coarse(d2: Column) -> Column:
-    """Distances on a grid of steps of under two in a hundred, so that exact quantiles stay small maps."""
+    """Distances on a grid of steps of under two in a hundred, so that quantiles need few counts."""
     return F.floor(64 * F.log1p(d2))
 
 
-def _few(strata: DataFrame) -> DataFrame:
-    """A table with a row for each stratum, written, so that the planner knows how small it is before it joins."""
-    return stored(strata, "quality-strata")
+def _starts(sample: DataFrame, scales: DataFrame) -> DataFrame:
+    """Each row three times, with its distance under each start."""
+    z2 = [F.pow((F.col(s) - F.col(f"q_{i}")) / GRID, F.lit(2)) / (F.pow(1.4826 * F.col(f"d_{i}") / GRID, F.lit(2)) + FLOORS[i] ** 2) for i, s in enumerate(STATS)]
+    orders = [sum(z2, F.lit(0.0)), F.greatest(*z2), sum((F.least(z, F.lit(9.0)) for z in z2), F.lit(0.0))]
+    return sample.join(scales, "stratum").select("stratum", *STATS, F.posexplode(F.array(*orders)).alias("start", "d2"))
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """Coordinatewise medians, and medians of the deviations from them as scales."""
+def _concentrated(near: DataFrame) -> DataFrame:
+    """Of each stratum and start, mean ``m_*``, lower triangle ``l_*_*`` of the covariance and log ``determinant`` over the closest rows."""
     k = range(len(STATS))
-    middles = _few(rows.groupBy("stratum").agg(*[F.expr(f"percentile({STATS[i]}, 0.5)").alias(f"q_{i}") for i in k]))
-    spread = rows.join(middles, "stratum").groupBy("stratum").agg(
-        *[F.max(f"q_{i}").alias(f"q_{i}") for i in k],
-        *[F.expr(f"percentile(floor(abs({STATS[i]} - q_{i})), 0.5)").alias(f"d_{i}") for i in k],
-    )
-    scale = [F.pow(1.4826 * F.col(f"d_{i}") / GRID, F.lit(2)) + FLOORS[i] ** 2 for i in k]
-    covariances = [(scale[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in k for j in range(i + 1)]
-    return _cholesky(spread.select("stratum", *[(F.col(f"q_{i}") / GRID).alias(f"m_{i}") for i in k], *covariances))
-
-
-def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Mean and covariance of the rows closest under the last estimates."""
-    k = range(len(STATS))
-    near = _distance(rows, estimates).withColumn("coarse", _coarse(F.col("d2")))
-    limits = _few(near.groupBy("stratum").agg(F.expr(f"percentile(coarse, {SHARE})").alias("limit")))
-    inner = near.join(limits, "stratum").where(F.col("coarse") <= F.ceil("limit"))
+    near = near.withColumn("value", _coarse(F.col("d2")))
+    limits = stored(_quantiles(near, ["stratum", "start"], {"limit": SHARE}), "quality-limits")
+    inner = near.join(limits, ["stratum", "start"]).where(F.col("value") <= F.col("limit"))
     whole = lambda x: F.sum(x.cast("decimal(38,0)")).cast("double")  # noqa: E731  exact
-    sums = inner.groupBy("stratum").agg(
+    sums = inner.groupBy("stratum", "start").agg(
         F.count("*").alias("n"),
         *[whole(F.col(STATS[i])).alias(f"t_{i}") for i in k],
         *[whole(F.col(STATS[i]) * F.col(STATS[j])).alias(f"t_{i}_{j}") for i in k for j in range(i + 1)],
     )
     mean = [F.col(f"t_{i}") / F.col("n") / GRID for i in k]
-    covariances = [
-        (F.col(f"t_{i}_{j}") / F.col("n") / GRID / GRID - mean[i] * mean[j] + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}")
-        for i in k
-        for j in range(i + 1)
-    ]
-    return _cholesky(sums.select("stratum", *[mean[i].alias(f"m_{i}") for i in k], *covariances))
+    found = sums.select(
+        "stratum", "start",
+        *[mean[i].alias(f"m_{i}") for i in k],
+        *[(F.col(f"t_{i}_{j}") / F.col("n") / GRID / GRID - mean[i] * mean[j] + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in k for j in range(i + 1)],
+    )
+    for j in k:
+        pivot = F.col(f"c_{j}_{j}") - sum((F.pow(f"l_{j}_{q}", F.lit(2)) for q in range(j)), F.lit(0.0))
+        found = found.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(1e-9))))
+        for i in range(j + 1, len(STATS)):
+            rest = F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{q}") * F.col(f"l_{j}_{q}") for q in range(j)), F.lit(0.0))
+            found = found.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
+    determinant = sum((2 * F.log(f"l_{i}_{i}") for i in k), F.lit(0.0)).alias("determinant")
+    return found.select("stratum", "start", determinant, *[f"m_{i}" for i in k], *[f"l_{i}_{j}" for i in k for j in range(i + 1)])
+
+
+def _distance(joined: DataFrame, carried: list[str]) -> DataFrame:
+    """``carried`` and ``d2``, the squared Mahalanobis distance of rows that have their stratum's estimate."""
+    for i, s in enumerate(STATS):
+        rest = F.col(s) / GRID - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
+        joined = joined.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
+    return joined.select(*carried, sum((F.pow(f"y_{i}", F.lit(2)) for i in range(len(STATS))), F.lit(0.0)).alias("d2"))
+
+
+def _least_determinants(sample: DataFrame, scales: DataFrame) -> DataFrame:
+    """The estimate of each stratum: concentrated from every start until no determinant falls, the least one chosen."""
+    best = stored(_concentrated(_starts(sample, scales)), "quality-estimate")
+    for _ in range(STEPS):
+        near = _distance(sample.join(best, "stratum"), ["stratum", "start", *STATS])
+        old = best.select("stratum", "start", F.struct("*").alias("old"))
+        both = _concentrated(near).select("stratum", "start", F.struct("*").alias("new")).join(old, ["stratum", "start"])
+        fell = F.col("new.determinant") < F.col("old.determinant") - 1e-9
+        best = stored(both.select(F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("fell")).select("e.*", "fell"), "quality-estimate")
+        if not best.where("fell").limit(1).count():
+            break
+        best = best.drop("fell")
+    chosen = best.drop("fell").groupBy("stratum").agg(F.min(F.struct("determinant", "start", F.struct("*").alias("e"))).alias("row"))
+    return chosen.select("row.e.*").drop("start", "determinant")
+
+
+def _limits(distances: DataFrame) -> DataFrame:
+    """``(stratum, centre, spread)`` of the cube roots of the distances."""
+    roots = stored(distances.select("stratum", "pool", F.floor(256 * F.cbrt("d2")).alias("value")).groupBy("stratum", "pool", "value").agg(F.count("*").alias("times")), "quality-roots")
+    own, pooled = (_quantiles(roots, [key], {"middle": 0.5, "upper": 0.75}) for key in ("stratum", "pool"))
+    pooled = pooled.select("pool", F.col("middle").alias("pool_middle"), F.col("upper").alias("pool_upper"))
+    of = roots.select("stratum", "pool").distinct()
+    weigh = lambda x: (F.col("members") * F.col(x) + PRIOR * F.col(f"pool_{x}")) / (F.col("members") + PRIOR) / 256
+    centre, spread = weigh("middle"), (weigh("upper") - weigh("middle")) / QUARTILE
+    return own.join(of, "stratum").join(pooled, "pool").select(
+        "stratum", F.greatest(centre, F.lit(CHI_CENTRE)).alias("centre"), F.greatest(spread, F.lit(CHI_SPREAD)).alias("spread")
+    )
 
 
 def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``doc`` (the columns ``carried``), the base counts, ``base_failed``, ``distance`` and ``kept`` of each row."""
+    """``doc`` (the columns ``carried``), the base counts, ``base_failed``, ``distance`` (in spreads) and ``kept`` of each row."""
     counts = measured(docs, carried)
-    rows = counts.withColumn("base_failed", base_failed()).withColumns(dict(zip(STATS, _statistics())))
+    named = {"stratum": F.xxhash64(F.to_json(F.struct("lang", "source"))), "pool": F.xxhash64(F.to_json(F.struct("lang")))}
+    rows = counts.withColumn("base_failed", base_failed()).withColumns(dict(zip(STATS, _statistics()))).withColumns(named)
     return _verdicts(stored(rows, "quality-counts"))
 
 
@@ -201,27 +231,23 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
-    fit = rows.where(~F.col("base_failed"))
-    strata = stored(_strata(fit), "quality-strata")
-    on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    placed = rows.join(strata, on, "left").drop("of_lang", "of_source")
-    sample = placed.where("not base_failed").select("stratum", *STATS)
-    estimates = stored(_first(sample), "quality-estimate")
-    for _ in range(STEPS):
-        estimates = stored(_concentrate(sample, estimates), "quality-estimate")
-    scale = (
-        _distance(sample, estimates)
-        .groupBy("stratum")
-        .agg(F.expm1((F.expr("percentile(floor(64 * ln(1 + d2)), 0.5)") + 0.5) / 64).alias("middle"), F.count("*").alias("members"))
-    )
-    # a left join of the estimates: rows that failed the base rules may have no stratum
-    final = _distance(placed, _few(estimates.join(scale, "stratum")))
-    distance = F.col("d2") * CHI_MEDIAN / F.greatest(F.col("middle"), F.lit(0.5))
-    outlier = F.coalesce((F.col("members") >= LEAST) & (F.col("distance") > CUTOFF), F.lit(False))
+    # tables with a row for each stratum are written, so that the planner knows how small they are before it joins them
+    fit = rows.where("not base_failed").select("stratum", "pool", "n_words", *STATS)
+    medians = stored(_medians(fit, [F.col(s) for s in STATS], "q"), "quality-medians")
+    sample = stored(fit.join(medians, "stratum").withColumns(_drawn()).select("stratum", "pool", *STATS), "quality-sample")
+    deviations = _medians(sample.join(medians, "stratum"), [F.abs(F.col(s) - F.col(f"q_{i}")) for i, s in enumerate(STATS)], "d")
+    scales = stored(medians.join(deviations, "stratum"), "quality-scales")
+    best = stored(_least_determinants(sample, scales), "quality-estimate")
+    limits = _limits(_distance(sample.join(best, "stratum"), ["stratum", "pool"]))
+    strata = stored(medians.join(best, "stratum").join(limits, "stratum"), "quality-strata")
+    # rows that failed the base rules may have no stratum
+    placed = rows.join(strata, "stratum", "left").withColumns(_drawn())
+    final = _distance(placed, [*(c for c in rows.columns if c not in ("stratum", "pool", *STATS)), "centre", "spread"])
+    distance = (F.cbrt("d2") - F.col("centre")) / F.col("spread")
     return (
         final.withColumn("distance", distance)
-        .withColumn("kept", ~F.col("base_failed") & ~outlier)
-        .drop("stratum", "d2", "middle", "members", *STATS)
+        .withColumn("kept", ~F.col("base_failed") & F.coalesce(distance <= Z, F.lit(True)))
+        .drop("d2", "centre", "spread")
     )
 
 

@@ -417,6 +417,77 @@ def test_op10_counts(spark, edge_dir):
     assert not any(r.kept for r in found if r.base_failed)
 
 
+def quantile(values, share):
+    """The least value that has a share of all at or below it."""
+    values = np.sort(values)
+    return values[int(np.ceil(share * len(values) - 1e-9)) - 1]
+
+
+def brute_distances(rows):
+    """Of ``{key: (stratum, pool, statistics, words)}``: the spreads beyond the centre, by plain numpy."""
+    floors, roots, strata = np.diag(np.square(quality.FLOORS)), {}, defaultdict(list)
+    for key, row in rows.items():
+        strata[row[0]].append(key)
+    for keys in strata.values():
+        raw, n = (np.array([rows[k][c] for k in keys], float) for c in (2, 3))
+        middle = np.array([quantile(c, 0.5) for c in raw.T])
+        x = np.floor(middle + (raw - middle) * np.sqrt(n[:, None] / (n[:, None] + np.array(quality.DRAWN))) + 0.5)
+        scale = np.array([quantile(abs(c - m), 0.5) for c, m in zip(x.T, middle)])
+        z2 = ((x - middle) / quality.GRID) ** 2 / ((1.4826 * scale / quality.GRID) ** 2 + np.diag(floors))
+        best = None
+        for d2 in (z2.sum(1), z2.max(1), np.minimum(z2, 9).sum(1)):
+            last = None
+            while True:
+                coarse = np.floor(64 * np.log1p(d2))
+                inner = x[coarse <= quantile(coarse, quality.SHARE)] / quality.GRID
+                mean, cov = inner.mean(0), np.cov(inner.T, bias=True) + floors
+                determinant = np.linalg.slogdet(cov)[1]
+                if last is not None and determinant >= last[0] - 1e-9:
+                    break
+                y = x / quality.GRID - mean
+                d2 = (y * np.linalg.solve(cov, y.T).T).sum(1)
+                last = determinant, d2
+            if best is None or last[0] < best[0] - 1e-9:
+                best = last
+        roots |= dict(zip(keys, np.cbrt(best[1])))
+    out = {}
+    for keys in strata.values():
+        pool = [roots[k] for k in rows if rows[k][1] == rows[keys[0]][1]]
+        own = [roots[k] for k in keys]
+        m, u = ((len(own) * quantile(np.floor(np.multiply(own, 256)), q) + quality.PRIOR * quantile(np.floor(np.multiply(pool, 256)), q)) / (len(own) + quality.PRIOR) / 256 for q in (0.5, 0.75))
+        out |= {k: (roots[k] - max(m, quality.CHI_CENTRE)) / max((u - m) / quality.QUARTILE, quality.CHI_SPREAD) for k in keys}
+    return out
+
+
+def brute_statistics(text):
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    chars = max(1, sum(map(len, words)))
+    shares = [len(re.findall(p, text)) / chars for p in ("[A-Z]", r"[!-/:-@\[-`{-~]", "[#*$%&|<>]")] + [(len(lines) - len(set(lines))) / max(1, len(lines))]
+    return [int(np.floor(x * quality.GRID + 0.5)) for x in (np.log(chars / max(1, len(words))), *np.sqrt(shares))]
+
+
+def test_op10_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    documents = {}
+    for i in range(400):
+        words = ["".join(rng.choice(list("etaoinsr"), rng.integers(2, 9))) for _ in range(int(rng.integers(25, 200)))]
+        if i % 9 == 0:
+            words = [w + "".join(rng.choice(list("#%$"), 2)) for w in words]
+        words = [w + rng.choice(["", "", ",", "."]) for w in words]
+        words = [w.capitalize() if rng.random() < 0.2 else w for w in words]
+        # strata of many, of few and of one
+        lang, source = (("de", "one") if i == 7 else ("fr", "few") if i % 40 == 1 else ("en", f"s{i % 3}"))
+        documents[i] = (" ".join(words), lang, source)
+    frame = spark.createDataFrame([(i, *d) for i, d in documents.items()], "doc_id long, text string, lang string, source string")
+    found = {r["doc"].doc_id: r for r in quality.judged(frame, ["doc_id"]).collect()}
+    fit = {i: ((lang, source), lang, brute_statistics(t), len(WORD.findall(t))) for i, (t, lang, source) in documents.items() if not found[i].base_failed}
+    wanted = brute_distances(fit)
+    assert len(wanted) > 380
+    assert max(abs(found[i].distance - d) for i, d in wanted.items()) < 1e-3
+    rejected = {i for i in wanted if not found[i].kept}
+    assert rejected == {i for i, d in wanted.items() if d > quality.Z} and len(rejected & set(range(0, 400, 9))) >= 40
+
+
 def test_op10_rejects_outliers_only(spark):
     rows = [r for r in rows_of("documents")[:90]] * 2
     good = [(i, r[1], "en", "s", 1) for i, r in enumerate(rows)]
