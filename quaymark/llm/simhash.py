@@ -35,6 +35,9 @@ SEED = 42
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Hashes that two similar texts must share in their prefixes, as a part of the set; longer prefixes tell more texts apart.
 SHARED_PART = 20
+#: Buckets that a text is in while groups of like texts are found, least hashes that a bucket shares, and rounds of grouping.
+BANDS, BAND, ROUNDS = 16, 3, 2
+_MIXTURES = np.random.default_rng(0).integers(1 << 62, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at a time, so that a very long text needs little memory beyond its words.
 BLOCK = 1 << 15
 
@@ -75,6 +78,13 @@ def needed(size: int, least: float) -> int:
     return math.ceil(least * size - 1e-9)
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``BANDS``, one number for the least ``BAND`` hashes under as many mixtures; two sets of similarity j agree in each with a chance of j ** BAND."""
+    least = [(hashes * odd ^ (hashes * odd >> np.uint64(29))).min() if len(hashes) else odd for odd in _MIXTURES]
+    mixed = np.array(least, np.uint64).reshape(BANDS, BAND) * _MIXTURES[:BAND]
+    return (np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(31)), axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, least: float | None = None) -> DataFrame:
     """``(doc_id, text_key, fp, n, prefix)`` of each row: the id, a hash of the text, the fingerprint as a signed
     long, the number of shingles, and 40 bits of the least shingle hashes, of which texts of a similarity of ``least`` share as many
@@ -141,8 +151,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, least: float) -> DataFrame
 
     Of texts of n hashes and a similarity of ``least``, at least ``k`` are among the first ``n - least * n + k`` of both, in
     any order that holds for all texts. In the order of the hashes themselves, this leaves the few texts that share
-    so many with others. Each of these is held against the first and the last text at each of its tokens, and what is
-    similar becomes one group; so a large group of like texts is not paired with itself. Groups that still share enough
+    so many with others. Each of these is held against one text with the same least hashes, under each of ``BANDS`` mixtures of the
+    hashes, and what is similar becomes one group; so a large group of like texts is not paired with itself. Groups that still share enough
     tokens with others are joined exactly, see ``_set_join``.
     """
     distinct = prints.where("n > 0").groupBy("text_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -153,23 +163,34 @@ def similar_links(docs: DataFrame, prints: DataFrame, least: float) -> DataFrame
     enough = F.count("*") >= F.floor(F.max(_must("n", least)) / SHARED_PART) + 1
     few = stored(meeting.groupBy("text_key").agg(enough.alias("enough")).where("enough").select("text_key"), "similar-few")
     sets = _sets(docs, few)
-    meeting = meeting.join(few, "text_key", "left_semi")
-    ends = meeting.groupBy("token").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
-    pairs = (
-        meeting.join(ends, "token")
-        .select("text_key", "n", F.explode(F.array("low", "high")).alias("other"))
-        .where("text_key <> other")
-        .groupBy("text_key", "other")
-        .agg((F.count("*") >= F.floor(F.max(_must("n", least)) / (2 * SHARED_PART)) + 1).alias("likely"))
-        .where("likely")
-    )
-    found = stored(_verified(pairs.select(F.least("text_key", "other").alias("src"), F.greatest("text_key", "other").alias("dst")).distinct(), sets, least), "similar-first")
-    groups = stored(connected_components(found), "similar-groups")
+    groups = _groups(sets, least)
     group = F.coalesce("component", "text_key").alias("group")
-    meeting = meeting.join(groups.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", "n", "token", group)
+    meeting = meeting.join(few, "text_key", "left_semi").join(groups.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", "n", "token", group)
     across = meeting.groupBy("token").agg((F.min("group") < F.max("group")).alias("apart")).where("apart").select("token")
     left = meeting.join(across, "token", "left_semi").groupBy("text_key", "group").agg(enough.alias("enough")).where("enough")
-    return found.union(_set_join(sets.join(left.select("text_key", "group"), "text_key"), sets, least))
+    joined = _set_join(sets.join(left.select("text_key", "group"), "text_key"), sets, least)
+    return groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(joined)
+
+
+def _groups(sets: DataFrame, least: float) -> DataFrame:
+    """``(node, component)``: groups of texts that are connected by similar ones. Round by round, other bands hold
+    against each other what stands in different groups: the middlemost text of each group in a bucket and that of all."""
+    every = sets.select("text_key", F.posexplode("bands").alias("nth", "band"))
+    crowds = every.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    # what agrees with most others lies in the middle of its like, and is likely similar to all of them
+    middle = every.join(crowds, "band").groupBy("text_key").agg(F.struct(F.sum("crowd"), "text_key").alias("middle"))
+    every = stored(every.join(crowds.select("band"), "band", "left_semi").join(middle, "text_key"), "similar-bands")
+    edges, groups = None, sets.select(F.col("text_key").alias("node"), F.col("text_key").alias("component")).limit(0)
+    for i in range(ROUNDS):
+        bands = every.where(F.col("nth") % ROUNDS == i).join(groups.withColumnRenamed("node", "text_key"), "text_key", "left")
+        members = bands.groupBy("band", F.coalesce("component", "text_key").alias("group")).agg(F.max("middle").alias("middle"))
+        first = members.groupBy("band").agg(F.max("middle").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
+        pairs = members.join(first, "band").where("first <> middle").select(F.array_sort(F.array("first.text_key", "middle.text_key")).alias("ends"))
+        pairs = pairs.select(F.col("ends")[0].alias("src"), F.col("ends")[1].alias("dst")).distinct()
+        found = stored(_verified(pairs, sets, least), "similar-first")
+        edges = found if edges is None else edges.union(found)
+        groups = stored(connected_components(edges), "similar-groups")
+    return groups
 
 
 def _must(n: str, least: float) -> Column:
@@ -178,14 +199,15 @@ def _must(n: str, least: float) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(text_key, n, all)``: all shingles of the texts of ``wanted``. The copies of a text have one key, and one of them is enough."""
+    """``(text_key, n, all, bands)``: all shingles of the texts of ``wanted``. The copies of a text have one key, and one of them is enough."""
 
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts])
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t) for t in texts]
+        return pd.DataFrame({"all": [x.view(np.int64) for x in found], "bands": [bands(x) for x in found]})
 
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi")
     found = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    return stored(found.select("text_key", F.pandas_udf(whole, "array<long>")("text").alias("all")).withColumn("n", F.size("all")), "similar-sets")
+    return stored(found.select("text_key", F.pandas_udf(whole, "all array<long>, bands array<long>")("text").alias("s")).select("text_key", F.size("s.all").alias("n"), "s.all", "s.bands"), "similar-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
