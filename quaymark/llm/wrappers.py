@@ -1,19 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-One page of each host, the one with the smallest id, is its reference. Every page's element tree is aligned with
-that of the reference by simple tree matching: equal labels match, and the children of matched nodes are aligned in
-order so that the number of matched nodes is largest. Siblings with one label form one repeated node, so the
-trees stay small. Over all pages of a host, Spark counts for each reference node how often its texts
-recur and how much text varies there: texts that recur in most pages are template, nodes whose
-text varies and is not mostly links are content slots. A page that shares most of its text with the reference
-is a copy and no evidence.
-
-A page's text is then read from its own tree. Where it marks its article, that subtree is the content; elsewhere
-the host's content slots are, and for nodes that match nothing their share of links decides. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out wherever tags, roles or classes
-tell them. Template texts are dropped. Blocks keep the page's order.
-
-What travels to a page is its host's skeleton: labels, text hashes and counts of one page. Counts are
+Pages of a host with the same container elements are of one layout; its reference is the page with the smallest id.
+Every page's element tree is aligned with that of its reference by simple tree matching: equal labels match, and the
+children of matched nodes are aligned in order so that the number of matched nodes is largest. Siblings with one label form one
+repeated node, so the trees stay small. Over all pages of a layout, Spark counts for each reference node how often its texts
+recur and how much text varies there. The wrapper follows from these counts alone:
+
+- texts that recur in ``RECURS`` of the pages are template;
+- nodes whose text varies are slots, and those whose varying text is mostly links are menus;
+- the content is the deepest container that holds nearly all text of the slots, with no varying heading beside it.
+
+A page's text is what stands in the content slots of its layout, in the page's order, without template texts. A page that
+shares nearly all text with the reference is a copy and no evidence. Where no other page gives evidence (a host of
+one page) or a page does not have the content container of its layout, the same rule is applied to the text of that page alone.
+Elements that say what they are (nav, footer, aside, form and their like, or such a role) are never content, nor are
+elements whose class is one of ``ASIDES`` word for word, unless they hold most of the text that varies.
+
+What travels to a page is its layout's skeleton: labels, text hashes and counts of one page. Counts are
 added up in each task and by partial sums before the shuffle, so a host with a third of all pages is split.
 Nulls: a null html has no text; a null url has an empty host, whose pages form one. Repeated rows each get a row.
 An empty table gives no rows.
@@ -35,14 +38,18 @@ from pyspark.sql import functions as F
 from quaymark.llm.url_filter import host_and_path
 from quaymark.sources.shared import stored
 
-#: Evidence from at least so many pages, and the share of them in which a text recurs, make it template.
-LEAST_PAGES, RECURS = 5, 0.8
+#: The share of a layout's pages in which a text recurs as template, and other pages that show it at least.
+RECURS, OTHERS = 0.8, 2
 #: Nodes with a larger share of link text are menus.
 LINKS = 0.5
-#: A page that shares more of its text with the reference is a copy of it.
-COPY = 0.5
+#: A page whose text varies from the reference by a smaller share is a copy of it.
+COPY = 0.05
+#: A container with this share of its parent's content is looked into.
+MAIN = 0.8
+#: Layouts of a smaller share of a host's pages are taken as its most frequent one.
+LAYOUT = 0.05
 #: Elements nested deeper are taken as their parent, so that no page exhausts the stack.
-DEPTH = 60
+DEPTH = 200
 ROWS = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,13 +63,12 @@ BREAKS_P = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LEFT_OUT = frozenset("nav header footer aside form menu dialog button head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
-CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|ads?|advert\w*|promo\w*|sponsor\w*|cookies?|consent|notice|banner|comments?|disqus|"
-    r"social|share|sharing|related|breadcrumbs?|newsletter|subscribe|popup|modal|widget|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+ASIDES = frozenset("ad ads advert adverts advertisement sidebar comments cookie-banner cookie-notice breadcrumbs newsletter share-buttons".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<]*\Z", re.DOTALL)
-_NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Containers in a page's html with their first class, as Spark's regular expressions find them.
+CONTAINERS = r"(?i)<(?:div|section|article|main|aside|nav|header|footer|form|table)(?:\s+class\s*=\s*[\"']?[a-z_-]+)?"
 
 
 class Node:
@@ -138,12 +144,15 @@ class Page:
         if self.at.depth >= DEPTH:
             self.ignored.append(tag)
             return
-        named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
-        words = f"{named.get('class', '')} {named.get('id', '')}"
-        # an article's own header holds its title
-        own = tag == "header" and any(n.tag == "article" for n in self._above())
-        out = (tag in LEFT_OUT and not own) or named.get("role", "").lower() in ROLES or (tag not in ("html", "body", "article", "main") and bool(CLASSES.search(words)))
-        label = f"{tag}.{re.sub('[0-9]+', '', (named.get('class') or '').split(' ')[0])}"
+        named: dict[str, str] = {}
+        for k, x, y, z in _ATTRIBUTE.findall(attributes):
+            named.setdefault(k.lower(), x or y or z)
+        # the header of an article or a section holds its title
+        own = tag == "header" and any(n.tag in ("article", "main", "section") for n in self._above())
+        out = (tag in LEFT_OUT and not own) or named.get("role", "").lower() in ROLES
+        classes = (named.get("class") or "").split()
+        aside = "!" if ASIDES.intersection(x.lower() for x in (*classes, named.get("id", ""))) else ""
+        label = f"{tag}.{re.sub('[0-9]+', '', (classes or [''])[0])}{aside}"
         node = Node(tag, label, self.at, out or self.at.out)
         self.at.children.append(node)
         self.at = node
@@ -286,146 +295,201 @@ class Reference:
         self.texts = {int(k): set(v) for k, v in parts["texts"].items()}
 
 
-COUNTS = "host string, node int, text long, pages long, chars long, linked long"
+def content(tree: Tree, chars: dict[int, int]) -> int:
+    """The deepest container that holds nearly all of ``chars``, the varying text of each node but that of menus."""
+    mass, headed = [0] * len(tree.labels), [False] * len(tree.labels)
+    whole = sum(chars.values())
+    for i in range(len(tree.labels) - 1, -1, -1):  # children have larger numbers
+        mass[i] = chars.get(i, 0) + sum(mass[c] for c in tree.children[i])
+        headed[i] = (chars.get(i, 0) > 0 and tree.labels[i].partition(".")[0] in HEADINGS) or any(headed[c] for c in tree.children[i])
+        if tree.labels[i].endswith("!") and 2 * mass[i] <= whole:
+            mass[i], headed[i] = 0, False
+    at = 0
+    while tree.children[at]:
+        best = max(tree.children[at], key=lambda c: mass[c])
+        block = 2 * chars.get(best, 0) > mass[best]
+        if block or mass[best] < MAIN * mass[at] or any(headed[c] for c in tree.children[at] if c != best):
+            break
+        at = best
+    return at
+
+
+COUNTS = "host string, layout long, node int, text long, pages long, chars long, linked long"
 
 
-def _evidence(page: Page, reference: Reference, into: Counter, host: str) -> None:
+def _evidence(page: Page, reference: Reference, into: Counter, key: tuple) -> None:
     """Counts of one page: texts that recur (``text`` is their hash), and the text of each node (``text`` is -1)."""
     tree, number = Tree.of(page)
     match = align(tree, reference.tree)
-    placed = [(match.get(number[id(node)]), text, linked) for node, text, linked in page.blocks]
+    placed = [(match.get(number[id(node)]), text, linked) for node, text, linked in page.blocks if not node.out]
     own = [(at, text_hash(text), len(text), linked) for at, text, linked in placed if at is not None]
-    recurring = sum(n for at, h, n, _ in own if h in reference.texts.get(at, ()))
-    if recurring > COPY * sum(n for _, _, n, _ in own):
+    varying = [x for x in own if x[1] not in reference.texts.get(x[0], ())]
+    if sum(x[2] for x in varying) <= COPY * sum(x[2] for x in own):
         return
-    into[host, 0, -1, "pages"] += 1
+    into[key, 0, -1, "pages"] += 1
     for at, h in {(at, h) for at, h, _, _ in own if h in reference.texts.get(at, ())}:
-        into[host, at, h, "pages"] += 1
-    for at, h, n, linked in own:
-        if h not in reference.texts.get(at, ()):
-            into[host, at, -1, "chars"] += n
-            into[host, at, -1, "linked"] += linked
+        into[key, at, h, "pages"] += 1
+    for at, _, n, linked in varying:
+        into[key, at, -1, "chars"] += n
+        into[key, at, -1, "linked"] += linked
 
 
-def main_text(page: Page, reference: Reference, template: set[tuple[int, int]], slots: set[int], menus: set[int]) -> str:
-    """Blocks of the content of a page, joined by empty lines."""
-    tree, number = Tree.of(page)
-    match = align(tree, reference.tree)
+class Wrapper:
+    """What the pages of a layout say of it: template texts, slots, menus and the container of the content."""
 
-    def inside(node: Node) -> bool:
-        while node:
-            if node.tag in ("article", "main") and not node.out:
-                return True
-            node = node.parent
-        return False
+    def __init__(self, reference: Reference, template: set[tuple[int, int]], slots: dict[int, int], menus: set[int]) -> None:
+        self.reference, self.template, self.slots, self.menus = reference, template, slots, menus
+        self.content = content(reference.tree, slots) if slots else None
+
+
+def _within(page: Page, tree: Tree, number: dict[int, int], main: int) -> set[int]:
+    """The identities of the nodes of a page below the node ``main`` of its tree, but those of asides."""
+    found: set[int] = set()
 
-    articles = {id(node) for node, _, _ in page.blocks if not node.out and inside(node)}
-    kept = []
+    def add(node: Node) -> None:
+        found.add(id(node))
+        for child in node.children:
+            if not child.label.endswith("!"):
+                add(child)
+
+    def look(node: Node) -> None:
+        if number[id(node)] == main:
+            add(node)
+            return
+        for child in node.children:
+            look(child)
+
+    look(page.root)
+    return found
+
+
+def main_text(page: Page, wrapper: Wrapper) -> str | None:
+    """Blocks of the content slots of a page, joined by empty lines; None if the page has not the container of its layout."""
+    if wrapper.content is None:
+        return None
+    tree, number = Tree.of(page)
+    match = align(tree, wrapper.reference.tree)
+    main = next((i for i, at in match.items() if at == wrapper.content), None)
+    if main is None:
+        return None
+    inside, kept = _within(page, tree, number, main), []
     for node, text, linked in page.blocks:
         at = match.get(number[id(node)])
-        if node.out or (articles and id(node) not in articles) or (at, text_hash(text)) in template:
+        if node.out or id(node) not in inside or at in wrapper.menus or (at, text_hash(text)) in wrapper.template:
             continue
-        if not articles and at not in slots and (at in menus or linked > LINKS * len(text)):
-            continue
-        kept.append(text)
+        # what the wrapper has not seen is judged by its own links
+        if at in wrapper.slots or linked <= LINKS * len(text):
+            kept.append(text)
     return "\n\n".join(kept)
 
 
+def single_text(page: Page) -> str:
+    """The text of a page that no other page explains: the same rule, with all its text as varying."""
+    tree, number = Tree.of(page)
+    chars: dict[int, int] = {}
+    blocks = [(node, text) for node, text, linked in page.blocks if not node.out and linked <= LINKS * len(text)]
+    for node, text in blocks:
+        chars[number[id(node)]] = chars.get(number[id(node)], 0) + len(text)
+    inside = _within(page, tree, number, content(tree, chars))
+    return "\n\n".join(text for node, text in blocks if id(node) in inside)
+
+
 def _hosted(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"))
+    """The pages with their host and layout: a hash of the containers that they have, if enough of the host's pages have these."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(CONTAINERS), F.lit(0))))
+    shaped = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"), F.coalesce(F.xxhash64(F.lower(F.array_join(found, " "))), F.lit(0)).alias("shape"), (F.size(found) > 0).alias("filled"))
+    sizes = stored(shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.max("filled").alias("filled")), "wrapper-shapes")
+    hosts = sizes.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("filled", "n", "shape")).alias("top"))
+    layouts = sizes.join(hosts, "host").select("host", "shape", F.when(F.col("filled") & (F.col("n") >= LAYOUT * F.col("all")), F.col("shape")).otherwise(F.col("top.shape")).alias("layout"))
+    return shaped.join(stored(layouts, "wrapper-layouts"), ["host", "shape"]).select("page_id", "url", "html", "host", "layout", (F.col("shape") == F.col("layout")).alias("own"))
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """``(host, skeleton)`` of the page with the smallest id of each host, of its first html in order."""
+    """``(host, layout, skeleton)`` of the page with the smallest id of each layout, of its first html in order."""
 
     @F.udf("string", useArrow=True)
     def packed(html: str) -> str:
         return skeleton(html)
 
-    # one row for each host and task before the shuffle; the pages are fetched by their ids afterwards
-    first = stored(pages.groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id is not null"), "wrapper-firsts")
-    chosen = pages.join(first, ["host", "page_id"]).groupBy("host").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
-    return stored(chosen.select("host", packed("html").alias("skeleton")), "wrapper-skeletons")
+    # one row for each layout and task before the shuffle; the pages are fetched by their ids afterwards
+    first = stored(pages.where("own").groupBy("host", "layout").agg(F.min("page_id").alias("page_id")).where("page_id is not null"), "wrapper-firsts")
+    chosen = pages.where("own").join(first, ["host", "layout", "page_id"]).groupBy("host", "layout").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
+    return stored(chosen.select("host", "layout", packed("html").alias("skeleton")), "wrapper-skeletons")
 
 
 def wrappers(pages: DataFrame, skeletons: DataFrame) -> DataFrame:
-    """``(host, skeleton, template, slots, menus)``: what the evidence of all pages makes of each skeleton."""
+    """``(host, layout, skeleton, template, slots, menus)``: what the evidence of all pages makes of each skeleton."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for host, html, reference in _rows(batch):
+            for key, html, reference in _rows(batch):
                 if reference:
-                    _evidence(Page(html), reference, found, host)
+                    _evidence(Page(html), reference, found, key)
             summed: dict[tuple, list[int]] = {}
-            for (host, node, text, what), n in found.items():
-                summed.setdefault((host, node, text), [0, 0, 0])[("pages", "chars", "linked").index(what)] += n
-            rows = [{"host": h, "node": node, "text": text, "pages": p, "chars": c, "linked": k} for (h, node, text), (p, c, k) in summed.items()]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
-
-    counted = pages.join(skeletons, "host", "left").select("host", "html", "skeleton").mapInArrow(count, COUNTS)
-    sums = counted.groupBy("host", "node", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    # no more rows of a host than its reference page has nodes and texts
+            for (key, node, text, what), n in found.items():
+                summed.setdefault((*key, node, text), [0, 0, 0])[("pages", "chars", "linked").index(what)] += n
+            if summed:
+                yield pa.RecordBatch.from_pylist([dict(zip(_COUNTS.names, (*k, *v))) for k, v in summed.items()], schema=_COUNTS)
+
+    key = ["host", "layout"]
+    counted = pages.join(skeletons, key, "left").select(*key, "html", "skeleton").mapInArrow(count, COUNTS)
+    sums = counted.groupBy(*key, "node", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    # no more rows of a layout than its reference page has nodes and texts
     sums = stored(sums, "wrapper-counts")
-    pages_of = sums.where("node = 0 and text = -1").select("host", F.col("pages").alias("all_pages"))
-    recurs = (F.col("text") >= 0) & (F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= RECURS * F.col("all_pages"))
+    pages_of = sums.where("node = 0 and text = -1").select(*key, F.col("pages").alias("all_pages"))
+    recurs = (F.col("text") >= 0) & (F.col("all_pages") >= OTHERS) & (F.col("pages") >= RECURS * F.col("all_pages"))
     varies = (F.col("text") < 0) & (F.col("chars") > 0)
     linked = F.col("linked") > LINKS * F.col("chars")
-    return stored(
-        skeletons.join(
-            sums.join(pages_of, "host")
-            .groupBy("host")
-            .agg(
-                F.collect_list(F.when(recurs, F.struct(F.col("node").cast("long").alias("node"), "text"))).alias("template"),
-                F.collect_list(F.when(varies & ~linked, F.col("node"))).alias("slots"),
-                F.collect_list(F.when(varies & linked, F.col("node"))).alias("menus"),
-            ),
-            "host",
-            "left",
-        ).select("host", "skeleton", "template", "slots", "menus"),
-        "wrappers",
+    node = F.col("node").cast("long").alias("node")
+    found = sums.join(pages_of, key).groupBy(*key).agg(
+        F.collect_list(F.when(recurs, F.struct(node, "text"))).alias("template"),
+        F.collect_list(F.when(varies & ~linked, F.struct(node, "chars"))).alias("slots"),
+        F.collect_list(F.when(varies & linked, F.col("node"))).alias("menus"),
     )
+    return stored(skeletons.join(found, key, "left").select(*key, "skeleton", "template", "slots", "menus"), "wrappers")
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int32()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
+_COUNTS = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("node", pa.int32()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Host, html and reference of each row; a skeleton is parsed once for the rows of a batch that share it."""
-    parsed: dict[str, Reference] = {}
+    """Host and layout, html and reference of each row; a skeleton is parsed once for the rows of a batch that share it."""
+    parsed: dict[tuple, Reference | None] = {}
     for at in range(0, batch.num_rows, ROWS):
         some = batch.slice(at, ROWS)
-        for host, html, packed in zip(some["host"].to_pylist(), some["html"].to_pylist(), some["skeleton"].to_pylist()):
-            if packed and packed not in parsed:
-                parsed[packed] = Reference(packed)
-            yield host, html, parsed.get(packed)
+        for nth, (host, layout, html) in enumerate(zip(some["host"].to_pylist(), some["layout"].to_pylist(), some["html"].to_pylist())):
+            if (key := (host, layout)) not in parsed:
+                packed = some["skeleton"][nth].as_py()
+                parsed[key] = Reference(packed) if packed else None
+            yield key, html, parsed[key]
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url`` and main ``text`` of each row of ``pages``."""
+    """``page_id``, ``url``, main ``text`` and ``learnt`` (whether a wrapper gave it) of each row of ``pages``."""
     hosted = _hosted(pages)
     learnt = wrappers(hosted, references(hosted))
-    nothing = Reference(skeleton(""))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[str, tuple] = {}
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                rules = zip(some["host"].to_pylist(), some["template"].to_pylist(), some["slots"].to_pylist(), some["menus"].to_pylist())
-                texts = []
-                for (host, template, slots, menus), (_, html, reference) in zip(rules, _rows(some)):
-                    if host not in sets:
-                        sets[host] = {(t["node"], t["text"]) for t in template or ()}, set(slots or ()), set(menus or ())
-                    texts.append(main_text(Page(html), reference or nothing, *sets[host]))
-                yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    joined = hosted.join(learnt, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "skeleton", "template", "slots", "menus")
-    return joined.mapInArrow(extract, "page_id long, url string, text string")
+            known: dict[tuple, Wrapper | None] = {}
+            texts, by_wrapper = [], []
+            for nth, (key, html, reference) in enumerate(_rows(batch)):
+                if key not in known:
+                    template, slots, menus = (batch[c][nth].as_py() or () for c in ("template", "slots", "menus"))
+                    rules = {(t["node"], t["text"]) for t in template}, {x["node"]: x["chars"] for x in slots}, set(menus)
+                    known[key] = Wrapper(reference, *rules) if reference else None
+                page = Page(html)
+                text = main_text(page, known[key]) if known[key] else None
+                by_wrapper.append(text is not None)
+                texts.append(single_text(page) if text is None else text)
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(by_wrapper)], names=["page_id", "url", "text", "learnt"])
+
+    joined = hosted.join(learnt, ["host", "layout"], "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "layout", "skeleton", "template", "slots", "menus")
+    return joined.mapInArrow(extract, "page_id long, url string, text string, learnt boolean")
 
 
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op8 over all pages."""
     found = extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "learnt")
