@@ -477,6 +477,18 @@ def test_op9_equals_sql(spark, edge_dir):
     assert {"apache,gpl,mit", "cc-by,cc-by-nc", "reserved", "mit"} <= by
 
 
+def test_op9_notices_wrapped_over_lines(spark):
+    """Every template, wrapped and set in other words, is found wherever it stands, as all windows of words show."""
+    rng = np.random.default_rng(1)
+    words = [f"word{i}" for i in range(50)]
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        before, after = (" ".join(rng.choice(words, int(rng.integers(0, 90)))) for _ in range(2))
+        rows.append((len(rows), label, f"{before}\n{text.replace(' ', chr(10), 3).replace(', ', ',' + chr(10))}\n{after}"))
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
+    assert all(label in found[i].split(",") for i, label, _ in rows)
+
+
 def brute_counts(text):
     words, text = WORD.findall(text or ""), text or ""
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
