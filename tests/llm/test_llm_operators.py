@@ -101,6 +101,10 @@ def test_op2_trees_learn_what_the_labels_show(spark):
     assert len(found) == 100 and right >= 90
 
 
+def test_op2_held_out_accuracy(spark):
+    assert url_filter.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")) >= 0.9
+
+
 def test_op3_records(spark, edge_dir):
     found = run("op3_warc_zip", spark, edge_dir)
     bodies = defaultdict(list)
