@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host with the same container elements are of one layout; its reference is the page with the smallest id.
+Pages of a host with the same kinds of container elements are of one layout; its reference is the page with the smallest id.
 Every page's element tree is aligned with that of its reference by simple tree matching: equal labels match, and the
 children of matched nodes are aligned in order so that the number of matched nodes is largest. Siblings with one label form one
 repeated node, so the trees stay small. Over all pages of a layout, Spark counts for each reference node how often its texts
@@ -67,8 +67,8 @@ ASIDES = frozenset("ad ads advert adverts advertisement sidebar comments cookie-
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<]*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Containers in a page's html with their first class, as Spark's regular expressions find them.
-CONTAINERS = r"(?i)<(?:div|section|article|main|aside|nav|header|footer|form|table)(?:\s+class\s*=\s*[\"']?[a-z_-]+)?"
+#: Containers that tell layouts apart.
+CONTAINERS = ("<article", "<main", "<section", "<aside", "<header", "<nav", "<form", "<table", "<div")
 
 
 class Node:
@@ -395,9 +395,10 @@ def single_text(page: Page) -> str:
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
-    """The pages with their host and layout: a hash of the containers that they have, if enough of the host's pages have these."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(CONTAINERS), F.lit(0))))
-    shaped = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"), F.coalesce(F.xxhash64(F.lower(F.array_join(found, " "))), F.lit(0)).alias("shape"), (F.size(found) > 0).alias("filled"))
+    """The pages with their host and layout: the kinds of containers that they have, if enough of the host's pages have these."""
+    html = F.lower("html")
+    shape = sum((F.coalesce(F.contains(html, F.lit(tag)).cast("long"), F.lit(0)) * (1 << i) for i, tag in enumerate(CONTAINERS)), F.lit(0).cast("long"))
+    shaped = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"), shape.alias("shape")).withColumn("filled", F.col("shape") > 0)
     sizes = stored(shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.max("filled").alias("filled")), "wrapper-shapes")
     hosts = sizes.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("filled", "n", "shape")).alias("top"))
     layouts = sizes.join(hosts, "host").select("host", "shape", F.when(F.col("filled") & (F.col("n") >= LAYOUT * F.col("all")), F.col("shape")).otherwise(F.col("top.shape")).alias("layout"))
