@@ -29,6 +29,16 @@ class Fields:
     numbers: dict[str, Column] = field(default_factory=dict)
     words: dict[str, Column] = field(default_factory=dict)
     date: Column | None = None
+    #: Width and height, for ``ratio:``, ``orient:``, ``mp:`` and ``pixels:``.
+    sides: tuple[Column, Column] | None = None
+    path: Column | None = None
+    #: Arrays of names that take the terms of ``tags:``, arrays of places, and yes-or-no columns such as ``fav:``.
+    names: dict[str, Column] = field(default_factory=dict)
+    places: Column | None = None
+    flags: dict[str, Column] = field(default_factory=dict)
+    #: Tokens and sort keys of one's own.
+    handlers: dict[str, Callable[[str], Column]] = field(default_factory=dict)
+    sorts: dict[str, Column] = field(default_factory=dict)
 
 
 def number_range(value: str, column: Column) -> Column:
@@ -105,13 +115,96 @@ def _contains(column: Column, value: str) -> Column:
     return F.lower(column).contains(value.lower())
 
 
+def tag_state(value: str, tags: Column) -> Column:
+    """``untagged``, ``tagged``, ``unconfirmed`` (only such tags) or ``tagunconfirmed`` (some); null tags are none."""
+    n, unsure = F.coalesce(F.size(tags), F.lit(0)), F.coalesce(F.exists(tags, lambda t: t.startswith("?")), F.lit(False))
+    sure = F.coalesce(F.exists(tags, lambda t: ~t.startswith("?")), F.lit(False))
+    return {"untagged": n <= 0, "tagged": n > 0, "unconfirmed": unsure & ~sure, "tagunconfirmed": unsure}.get(value, F.lit(False))
+
+
+#: Shapes by name, as the least and the largest width over height.
+SHAPES = {"square": (1 / 1.05, 1.05), "portrait": (0, 1 / 1.05), "tall": (0, 0.6), "landscape": (1.05, 1e9), "wide": (1.6, 1e9), "ultrawide": (2.2, 1e9)}
+
+
+def _quotient(text: str) -> float | None:
+    """``16:9``, ``16/9``, ``16x9`` or ``1.78``."""
+    try:
+        parts = [float(x) for x in re.split("[:/x]", text)]
+        return parts[0] / parts[1] if len(parts) == 2 else parts[0] if len(parts) == 1 else None
+    except (ValueError, ZeroDivisionError):
+        return None
+
+
+def shape_condition(value: str, sides: tuple[Column, Column]) -> Column:
+    """A shape's name, a quotient with a tolerance (``1.5~0.1``), a comparison or ``a..b``; alternatives by ``|``. Sides of nothing never match."""
+    ratio, found = F.try_divide(sides[0].cast("double"), F.when((sides[0] > 0) & (sides[1] > 0), sides[1])), F.lit(False)
+    for one in value.lower().split("|"):
+        op, rest = re.match("(<=|>=|<|>|=)?(.*)$", one).groups()
+        text, _, tolerance = rest.partition("~")
+        spans = [_quotient(x) for x in rest.split("..", 1)] if ".." in rest else [_quotient(text)]
+        if one in SHAPES:
+            low, high = SHAPES[one]
+        elif None in spans:
+            return F.lit(False)
+        elif len(spans) == 2:
+            low, high = sorted(spans)
+        elif op in ("<", "<=", ">", ">="):
+            found = found | number_range(f"{op}{spans[0]}", ratio)
+            continue
+        else:
+            spread = float(tolerance) if re.fullmatch(r"\d*\.?\d+", tolerance) else 0.05
+            low, high = spans[0] * (1 - spread), spans[0] * (1 + spread)
+        found = found | ratio.between(low, high)
+    return F.coalesce(found, F.lit(False))
+
+
+def place_condition(value: str, places: Column) -> Column:
+    """Parts by comma or slash, each of which must be one of the places; ``*`` stands for anything."""
+    condition = F.lit(True)
+    for part in re.split("[,/]", value.lower()):
+        condition = condition & F.coalesce(F.exists(F.transform(places, F.lower), _globbed(part.strip())), F.lit(False))
+    return condition
+
+
+def split_negatives(text: str) -> tuple[str, list[str]]:
+    """The phrase of a query, and the words that a leading ``-`` turns away."""
+    words = text.split()
+    return " ".join(w for w in words if not w.startswith("-")), [w[1:] for w in words if w.startswith("-") and len(w) > 1]
+
+
+def every_term(text: str, columns: list[Column]) -> Column:
+    """Each word must occur in one of the columns."""
+    condition = F.lit(True)
+    for word in text.lower().split():
+        found = F.lit(False)
+        for column in columns:
+            found = found | F.coalesce(_contains(column, word), F.lit(False))
+        condition = condition & found
+    return condition
+
+
 def compile_search(text: str, fields: Fields) -> tuple[Column, list[Column]]:
     """The condition and the order of a search; the key is the last order column."""
     handlers: dict[str, Callable[[str], Column]] = {
         "tag": lambda v: has_tag(fields.tags, v),
         "tags": lambda v: tag_terms(fields.tags, v),
         "tagcount": lambda v: number_range(v, F.coalesce(F.size(fields.tags), F.lit(0))),
+        "is": lambda v: tag_state(v, fields.tags),
+        **fields.handlers,
     }
+    if fields.sides is not None:
+        area = fields.sides[0] * fields.sides[1]
+        handlers |= {name: lambda v: shape_condition(v, fields.sides) for name in ("ratio", "orient")}
+        handlers |= {"pixels": lambda v: number_range(v, area), "mp": lambda v: number_range(v, area / 1e6)}
+    if fields.path is not None:
+        handlers["path"] = lambda v: _contains(fields.path, v)
+        handlers["ext"] = lambda v: F.lower(fields.path).rlike("\\.(" + "|".join(re.escape(x.lower().lstrip(".")) for x in v.split("|")) + ")$")
+    if fields.places is not None:
+        handlers["location"] = lambda v: place_condition(v, fields.places)
+    for name, column in fields.names.items():
+        handlers[name] = lambda v, c=column: tag_terms(c, v)
+    for name, column in fields.flags.items():
+        handlers[name] = lambda v, c=column: F.coalesce(c, F.lit(False)) if v in ("yes", "any") else ~F.coalesce(c, F.lit(False))
     if fields.date is not None:
         handlers["date"] = lambda v: date_condition(v, fields.date)
     for name, column in fields.numbers.items():
@@ -125,8 +218,9 @@ def compile_search(text: str, fields: Fields) -> tuple[Column, list[Column]]:
         value = value.strip('"')
         if name == "sort" and colon:
             key, down = value.removeprefix("-"), value.startswith("-")
-            if key in fields.numbers:
-                order.append(fields.numbers[key].desc_nulls_last() if down else fields.numbers[key].asc_nulls_last())
+            keys = fields.numbers | fields.sorts
+            if key in keys:
+                order.append(keys[key].desc_nulls_last() if down else keys[key].asc_nulls_last())
         elif colon and name in handlers:
             found = handlers[name](value)
             condition = condition & (~found if negative else found)

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def dtw_cost(a: np.ndarray, b: np.ndarray) -> float:
     """Least total absolute difference along a warping path."""
-    cost = np.abs(a[:, None] - b[None, :])
-    total = np.full(len(b) + 1, np.inf)
-    total[0] = 0.0
-    for row in cost:
-        before, total = total, np.empty_like(total)
-        total[0] = np.inf
-        for j, c in enumerate(row):
-            total[j + 1] = c + min(before[j], before[j + 1], total[j])
-        # after the first row no path starts at the corner
-    return float(total[-1])
+    # cells of one antidiagonal hang on those of the two before it alone; index i stands for row i of the diagonal
+    n, m = len(a), len(b)
+    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    older[0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        now = np.full(n + 1, np.inf)
+        now[i] = np.abs(a[i - 1] - b[d - i - 1]) + np.minimum(older[i - 1], np.minimum(old[i - 1], old[i]))
+        older, old = old, now
+    return float(old[n])
+
+
+def resampled(values: Column, most: int) -> Column:
+    """Evenly spaced members of an array, the ends kept, where it has more than ``most``."""
+    n = F.size(values)
+    nth = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(values, F.floor(i * (n - 1) / (most - 1) + 0.5).cast("int")))
+    return F.when(n > most, nth).otherwise(values)
+
+
+def kept_steps(values: Column, flat: Callable[[Column], Column], near: int) -> Column:
+    """An array of numbers without flat ones, and without those within ``near`` of the last one kept."""
+    told = F.filter(values, lambda x: ~flat(x))
+    fresh = lambda kept, x: (F.size(kept) == 0) | (F.abs(F.element_at(kept, F.greatest(F.size(kept), F.lit(1))) - x) > near)
+    return F.aggregate(told, F.array().cast("array<long>"), lambda kept, x: F.when(fresh(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
 
 def dtw_score(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:

@@ -190,7 +190,13 @@ def frame_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delays(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", F.col("delay").cast("long").alias("delay"))
 
 
-@query()
+SUPPRESSED = """WITH RECURSIVE e AS (SELECT event_id, ts, user_id || '/' || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+k(key, rn, ts, event_id) AS (SELECT key, rn, ts, event_id FROM e WHERE rn = 1 UNION ALL
+SELECT key, rn, ts, event_id FROM (SELECT e.key, e.rn, e.ts, e.event_id, row_number() OVER (PARTITION BY e.key ORDER BY e.rn) AS x FROM k JOIN e ON e.key = k.key AND e.rn > k.rn AND e.ts >= k.ts + INTERVAL 24 HOUR) WHERE x = 1)
+SELECT event_id, key FROM k"""
+
+
+@query(SUPPRESSED)
 def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a kind at least a day after the last kept one of their user."""
     keyed = table(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
@@ -303,11 +309,11 @@ def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(pending(file_stream(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id"), "pending")
 
 
-@query()
+@query(SUPPRESSED)
 def stream_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of a stream, each key once within the cooldown."""
+    """Alerts of a stream, each at least a day after the last kept one of its key."""
     keyed = file_stream(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
-    return drained(suppressed_within(keyed, "key", "ts", "1 day"), "suppressed").select("event_id", "key")
+    return drained(suppressed_within(keyed, "key", "ts", "event_id", 24 * 60), "suppressed").select("event_id", "key")
 
 
 @query("""WITH e AS (SELECT user_id, ts, value FROM events), w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS d, sum(round(value * 100)::BIGINT) AS v FROM e GROUP BY ALL)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.operators.groups import overlaps, trips
-from quaymark.operators.sequences import dtw_score, offset_votes
+from quaymark.operators.sequences import dtw_score, offset_votes, resampled
 from quaymark.plans.registry import query, table
 
 
@@ -82,9 +82,10 @@ def offset_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dtw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of each user's first and second half of values, of 64 steps at most."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("pos"), (F.col("value") / 1000).alias("v")).where("pos <= 128")
-    half = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "v")))), lambda x: x["v"])
-    pairs = steps.groupBy("user_id").agg(half(F.col("pos") <= 64).alias("a"), half(F.col("pos") > 64).alias("b"))
+    """Alignment of each user's first and second half of values; of a half with more than 256, evenly spaced ones."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", (F.col("value") / 1000).alias("v")).alias("step"))
+    whole = rows.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("step")), lambda x: x["v"]).alias("v"))
+    middle = F.floor(F.size("v") / 2).cast("int")
+    halves = whole.withColumns({"a": F.slice("v", F.lit(1), middle), "b": F.slice("v", middle + 1, F.size("v"))})
+    pairs = halves.select("user_id", *[resampled(F.col(c), 256).alias(c) for c in ("a", "b")])
     return dtw_score(pairs, "a", "b").select("user_id", F.round("score", 6).alias("score"))

@@ -36,10 +36,12 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.count("*").alias("pairs"), F.count_if(F.col("o") > 0.3).alias("overlapping"), F.round(F.sum("o"), 3).alias("total"))
 
 
-@query()
+@query(f"""WITH {SQL_BOXES}, s AS (SELECT x.key AS a, y.key AS b, {SQL_IOU} AS o FROM b x JOIN b y ON x.image = y.image AND x.line % 2 = 1 AND y.line % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY o DESC, b) AS rn FROM s WHERE o >= 0.1) SELECT a, b, round(o, 6) AS overlap FROM r WHERE rn = 1""")
 def box_best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return best_matches(boxes.where("line % 2 = 1"), boxes.where("line % 2 = 0"), "image", "key", 0.1)
+    found = best_matches(boxes.where("line % 2 = 1"), boxes.where("line % 2 = 0"), "image", "key", 0.1)
+    return found.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @query()

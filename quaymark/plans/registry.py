@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quaymark.plans import browse, grouping, library, regions, searching, vectors  # noqa: E402, F401
+from quaymark.plans import browse, clusters, filters, grouping, library, regions, relations, searching, vectors  # noqa: E402, F401

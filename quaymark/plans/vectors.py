@@ -19,7 +19,9 @@ COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(lis
 def _vector(spark: SparkSession, sf_dir: str, key: int) -> list[float]:
     """The vector of one row, which becomes a constant of the query."""
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == key).select("embedding").first()
-    return list(row[0]) if row else [0.0] * 64
+    if row is None:
+        raise ValueError(f"no vector {key}")
+    return list(row[0])
 
 
 @query(f"""SELECT a.vec_id, round({COS.format(a='a.v', b='q.v')}, 6) AS score FROM {UNIT} a, {UNIT} q

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaymark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -44,13 +46,6 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     writer.parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` of a URI, inside tasks; plain paths are local."""
     from pyarrow import fs

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quaymark.sources.shared import new_path
 
@@ -56,6 +60,24 @@ def pending(stream: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return stream.join(done, key, "left").where("_done IS NULL").drop("_done")
 
 
-def suppressed_within(stream: DataFrame, key: str, time: str, window: str) -> DataFrame:
-    """The first row of a key, and none of it again while the watermark keeps its state: an alert's cooldown."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, window).dropDuplicatesWithinWatermark([key])
+def suppressed_within(stream: DataFrame, key: str, time: str, tie: str, minutes: int) -> DataFrame:
+    """Rows at least ``minutes`` after the last kept row of their key: an alert's cooldown.
+
+    The state of a key is the time of its last kept row. The rows of a batch are taken in the order of their times; a row that
+    comes in a later batch than a younger one is held against that one.
+    """
+    wait = pd.Timedelta(minutes=minutes)
+
+    def keep(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(frames)).sort_values([time, tie])
+        kept = []
+        for t in rows[time]:
+            fresh = last is None or t - last >= wait
+            kept.append(fresh)
+            if fresh:
+                last = t
+        state.update((int(last.value // 1000),))
+        yield rows[kept]
+
+    return stream.groupBy(key).applyInPandasWithState(keep, stream.schema, "last long", "append", GroupStateTimeout.NoTimeout)
