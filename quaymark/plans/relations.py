@@ -108,7 +108,7 @@ def distinct_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT l_suppkey, l_returnflag AS tag, min(l_orderkey * 10 + l_linenumber) AS met FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, (SELECT string_agg(tag, ',' ORDER BY met) FROM n WHERE n.l_suppkey = s.l_suppkey) AS tags, max(len(p_name)) AS longest FROM lineitem s JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+SELECT l_suppkey, (SELECT string_agg(tag, ',' ORDER BY met, tag) FROM n WHERE n.l_suppkey = s.l_suppkey) AS tags, max(len(p_name)) AS longest FROM lineitem s JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def best_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the notes on a thing, each tag once in the order met, and the length of the longest text."""
     lines = table(spark, sf_dir, "lineitem")
