@@ -47,19 +47,57 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def text_bits(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, h)``: a fingerprint of 64 bits for each key; a bit is set where most of its distinct words have it.
+
+    Texts without words are zero. The votes of a text are added up before they are shuffled, and are 64 counts whatever its length.
+    """
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), ""))
+    digest = F.md5("word")
+    half = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long")
+    word_bits = F.shiftleft(half(1), 32).bitwiseOR(half(9))
+    hashed = rows.select(key, F.explode_outer(words).alias("word")).select(key, word_bits.alias("w"))
+    # a sum counts bit i in its lower half and bit i + 32 in its upper one
+    lanes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{i}") for i in range(32)]
+    votes = hashed.groupBy(key).agg(F.count("w").alias("n"), *lanes)
+    h = F.lit(0).cast("long")
+    for i in range(64):
+        seen = F.shiftright(f"s{i % 32}", 32) if i >= 32 else F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1))
+        h = h.bitwiseOR(F.when(2 * seen > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
+    return votes.select(key, h.alias("h"))
+
+
 def hamming_pairs(hashes: DataFrame, key: str, column: str, limit: int) -> DataFrame:
-    """All pairs ``(a, b, distance)``, ``a < b``, within ``limit`` bits: they agree on one of ``limit + 1`` chunks."""
-    n = limit + 1
+    """All pairs ``(a, b, distance)``, ``a < b``, within ``limit`` bits of 64.
+
+    Of one chunk more than half the limit, one differs in a bit at most. So one side carries each chunk as it is and with each
+    of its bits turned, and the sides meet on whole chunks: with a limit of five, three keys of 21 or 22 bits, where chunks
+    that have to be equal would be of ten. The first of the chunks that a pair meets on gives it, so pairs need no shuffle
+    to be unique. Rows with equal hashes pair with each other: make hashes unique first, as ``hash_classes`` does.
+    """
+    n = limit // 2 + 1
     cuts = [64 * i // n for i in range(n + 1)]
-    chunks = F.array(*[
-        F.struct(F.lit(i).alias("chunk"), F.shiftrightunsigned(F.shiftleft(F.col(column), 64 - high), 64 - high + low).alias("part"))
-        for i, (low, high) in enumerate(zip(cuts, cuts[1:]))
-    ])
-    keyed = hashes.select(key, column, F.inline(chunks))
-    left = keyed.select(F.col(key).alias("a"), F.col(column).alias("ha"), "chunk", "part")
-    right = keyed.select(F.col(key).alias("b"), F.col(column).alias("hb"), "chunk", "part")
-    near = left.join(right, ["chunk", "part"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb")))
-    return near.where(F.col("distance") <= limit).select("a", "b", "distance").distinct()
+    part = lambda h, low, high: F.shiftrightunsigned(F.shiftleft(h, 64 - high), 64 - high + low)
+    spans = list(zip(cuts, cuts[1:]))
+    plain = F.array(*[F.struct(F.lit(i).alias("chunk"), part(F.col(column), *s).alias("part")) for i, s in enumerate(spans)])
+    flips = lambda c, low, high: F.transform(
+        F.array(F.lit(0).cast("long"), *[F.lit(1 << x).cast("long") for x in range(high - low)]),
+        lambda m: F.struct(F.lit(c).alias("chunk"), part(F.col(column), low, high).bitwiseXOR(m).alias("part")),
+    )
+    turned = F.flatten(F.array(*[flips(i, *s) for i, s in enumerate(spans)]))
+    left = hashes.select(F.col(key).alias("a"), F.col(column).alias("ha"), F.inline(plain))
+    right = hashes.select(F.col(key).alias("b"), F.col(column).alias("hb"), F.inline(turned))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.lit(n)
+    for i, s in reversed(list(enumerate(spans))):
+        first = F.when(F.bit_count(part(differ, *s)) <= 1, i).otherwise(first)
+    near = left.join(right, ["chunk", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= limit) & (first == F.col("chunk")))
+    return near.select("a", "b", F.bit_count(differ).alias("distance"))
+
+
+def hash_classes(hashes: DataFrame, key: str, column: str) -> DataFrame:
+    """``(first, column, n)``: rows of equal hashes are one class, which its smallest key stands for."""
+    return hashes.groupBy(column).agg(F.min(key).alias("first"), F.count("*").alias("n"))
 
 
 def exact_groups(rows: DataFrame, key: str, column: str) -> DataFrame:

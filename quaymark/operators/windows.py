@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.sources.shared import stored
+
 
 def spaced_samples(rows: DataFrame, bucket: str, order: list[Column], k: int) -> DataFrame:
     """At most ``k`` rows of each bucket, evenly spaced in the given order."""
@@ -71,3 +73,30 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     )
     w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"{value}_as_of", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the place of each in its group from 1, and ``n``, the size of the group.
+
+    A group may hold most of the rows: they are dealt out by ranges of ``(group, *order)``, counted by range, and each row's
+    place is its place in the range behind the rows of the ranges before. So no task holds a whole group. ``order`` is
+    made of columns that rise, the last of which tells rows apart; equal rows otherwise share a range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_c"))
+    # one row for each group and range
+    own = Window.partitionBy(group)
+    before = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(own)})
+    before = before.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), "_before", "n")
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    placed = dealt.withColumn("_place", within).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_g", "_r", "_before", "_place")
+
+
+def medians(rows: DataFrame, group: str, value: str, tie: str, name: str) -> DataFrame:
+    """``(group, name)``: the exact median of each group's values, the mean of the middle two where they are even in number."""
+    known = rows.where(F.col(value).isNotNull()).select(group, value, tie)
+    placed = ranked(known, group, [value, tie], "_place")
+    middle = placed.where(F.expr("_place IN ((n + 1) div 2, (n + 2) div 2)"))
+    return middle.groupBy(group).agg(F.avg(value).alias(name))

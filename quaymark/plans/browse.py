@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.functions.text import chunks, first_heading, plain_html, sort_title
 from quaymark.operators.groups import ancestors, tree_totals
 from quaymark.operators.similarity import wilson
-from quaymark.operators.windows import as_of, delays, latest, sessions, spaced_samples, suppressed
+from quaymark.operators.windows import as_of, delays, latest, medians, ranked, sessions, spaced_samples, suppressed
 from quaymark.plans.registry import query, table
 from quaymark.streaming.streams import deduplicated, drained, file_stream, pending, suppressed_within, windowed_counts
 
@@ -226,22 +226,21 @@ def wilson_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT e.*, abs(value - med) AS dev FROM events e JOIN m USING (event_type)), s AS (SELECT event_type, median(dev) AS mad FROM d GROUP BY 1)
 SELECT event_id, round(dev / greatest(mad, 1.0), 6) AS spread FROM d JOIN s USING (event_type) WHERE dev / greatest(mad, 1.0) > 4""")
 def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values more than four median deviations from their kind's median."""
-    events = table(spark, sf_dir, "events")
-    middles = events.groupBy("event_type").agg(F.median("value").alias("med"))
-    off = events.join(middles, "event_type").withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    spreads = off.groupBy("event_type").agg(F.median("dev").alias("mad"))
+    """Values more than four median deviations from their kind's median; kinds are few, so each is spread over ranges."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    off = events.join(medians(events, "event_type", "value", "event_id", "med"), "event_type").withColumn("dev", F.abs(F.col("value") - F.col("med")))
     spread = F.col("dev") / F.greatest("mad", F.lit(1.0))
-    return off.join(spreads, "event_type").where(spread > 4).select("event_id", F.round(spread, 6).alias("spread"))
+    found = off.join(medians(off, "event_type", "dev", "event_id", "mad"), "event_type")
+    return found.where(spread > 4).select("event_id", F.round(spread, 6).alias("spread"))
 
 
 @query("""WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rv, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rt FROM events)
 SELECT event_type, round(corr(rv, rt), 6) AS rho FROM r GROUP BY event_type""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of value and time of each kind."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("event_type").orderBy(c, "event_id")).cast("double")
-    ranked = table(spark, sf_dir, "events").select("event_type", rank("value").alias("rv"), rank("ts").alias("rt"))
-    return ranked.groupBy("event_type").agg(F.round(F.corr("rv", "rt"), 6).alias("rho"))
+    by_value = ranked(table(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts"), "event_type", ["value", "event_id"], "rv").drop("n")
+    both = ranked(by_value, "event_type", ["ts", "event_id"], "rt")
+    return both.groupBy("event_type").agg(F.round(F.corr(F.col("rv").cast("double"), F.col("rt").cast("double")), 6).alias("rho"))
 
 
 @query("""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, value FROM events)

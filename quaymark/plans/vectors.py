@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.operators.groups import farthest, leader_clusters
 from quaymark.operators.similarity import (
-    centroids, cosine, exact_groups, hamming_pairs, linked_components, literal, reference_order, sign_bits, top_k,
+    centroids, cosine, exact_groups, hamming_pairs, hash_classes, linked_components, literal, reference_order, text_bits, top_k,
 )
 from quaymark.plans.registry import query, table
+from quaymark.sources.shared import stored
 
-LIMIT = 16
+LIMIT = 5
+#: Centroids that travel with every task.
+CENTROIDS_AT_ONCE = 1024
 UNIT = "(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
@@ -80,11 +85,19 @@ def centroid_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CENTROIDS}, s AS (SELECT u.vec_id, c.label, {COS.format(a='u.v', b='c.c')} AS s FROM u, c)
 SELECT vec_id, arg_max(label, s) AS nearest FROM s GROUP BY vec_id""")
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label with the nearest centroid; labels are few, and their centroids travel as one array."""
+    """The label with the nearest centroid; centroids travel in blocks of a bounded size."""
     vectors = table(spark, sf_dir, "embeddings")
-    found = centroids(vectors, "label", "embedding", "vec_id").agg(F.collect_list(F.struct("label", "centroid")).alias("all"))
+    found = stored(centroids(vectors, "label", "embedding", "vec_id"), "centroids")
+    blocks = -(-found.count() // CENTROIDS_AT_ONCE)
+    block = F.pmod(F.xxhash64("label"), F.lit(max(1, blocks))).alias("block")
+    packed = found.groupBy(block).agg(F.collect_list(F.struct("label", "centroid")).alias("all"))
     scores = F.transform("all", lambda c: F.struct(cosine(F.col("embedding"), c["centroid"]).alias("s"), c["label"].alias("label")))
-    return vectors.crossJoin(F.broadcast(found)).select("vec_id", F.array_max(scores)["label"].alias("nearest"))
+    best = F.array_max(scores).alias("best")
+    # each block against all rows; with one block there is nothing to compare afterwards
+    if blocks <= 1:
+        return vectors.crossJoin(F.broadcast(packed)).select("vec_id", best).select("vec_id", F.col("best.label").alias("nearest"))
+    each = [vectors.crossJoin(F.broadcast(packed.where(F.col("block") == i))).select("vec_id", best) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, each).groupBy("vec_id").agg(F.max("best").alias("best")).select("vec_id", F.col("best.label").alias("nearest"))
 
 
 @query(f"""WITH {CENTROIDS}, d AS (SELECT u.vec_id, u.label, 1 - {COS.format(a='u.v', b='c.c')} AS d FROM u JOIN c USING (label)),
@@ -104,35 +117,46 @@ def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("rn <= 3").drop("rn")
 
 
-BITS = f"""h AS (SELECT vec_id, list_transform(v, lambda x: x > 0) AS b FROM {UNIT}),
-p AS (SELECT x.vec_id AS a, y.vec_id AS b, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id)"""
+BITS = """w AS (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS word FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS l FROM documents)),
+g AS (SELECT doc_id, ('0x' || md5(word)[1:16])::UBIGINT AS h FROM w), k AS (SELECT unnest(range(64))::UTINYINT AS i),
+v AS (SELECT doc_id, i, 2 * coalesce(sum((h >> i) & 1), 0) > count(h) AS b FROM g, k GROUP BY ALL),
+f AS (SELECT doc_id, coalesce(sum(CASE WHEN b THEN 1::HUGEINT << i::HUGEINT END), 0)::HUGEINT AS h FROM v GROUP BY 1),
+c AS (SELECT h, min(doc_id) AS first, count(*) AS n FROM f GROUP BY h),
+p AS (SELECT x.first AS a, y.first AS b, bit_count(xor(x.h, y.h)) AS distance FROM c x JOIN c y ON x.first < y.first AND bit_count(xor(x.h, y.h)) <= %d)""" % LIMIT
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(text_bits(table(spark, sf_dir, "documents"), "doc_id", "text"), "fingerprints")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = table(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
-    return hamming_pairs(hashes, "vec_id", "h", LIMIT)
+def _pairs(hashes: DataFrame) -> DataFrame:
+    return hamming_pairs(hash_classes(hashes, "doc_id", "h"), "first", "h", LIMIT)
 
 
-@query(f"WITH {BITS} SELECT a, b, distance::INTEGER AS distance FROM p WHERE distance <= {LIMIT}")
+@query(f"WITH {BITS} SELECT a, b, distance::INTEGER AS distance FROM p")
 def hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sign hashes within sixteen bits."""
-    return _pairs(spark, sf_dir)
+    """Pairs of text fingerprints within five bits; a class of equal ones is one, under its smallest key."""
+    return _pairs(_fingerprints(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {BITS}, e AS (SELECT a, b FROM p WHERE distance <= {LIMIT} UNION SELECT b, a FROM p WHERE distance <= {LIMIT}),
-r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE {BITS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), m AS (SELECT node, min(root) AS component FROM r GROUP BY node)
+SELECT doc_id, coalesce(component, first) AS component FROM f JOIN c USING (h) LEFT JOIN m ON node = first""")
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_components(_pairs(spark, sf_dir))
+    """The smallest document that each one is linked to, through equal and near fingerprints."""
+    hashes = _fingerprints(spark, sf_dir)
+    found = linked_components(_pairs(hashes))
+    classes = hash_classes(hashes, "doc_id", "h").join(found, F.col("node") == F.col("first"), "left")
+    return hashes.join(classes.select("h", F.coalesce("component", "first").alias("component")), "h").select("doc_id", "component")
 
 
-@query(f"""WITH RECURSIVE {BITS}, e AS (SELECT a, b, distance FROM p WHERE distance <= {LIMIT} UNION SELECT b, a, distance FROM p WHERE distance <= {LIMIT}),
+@query(f"""WITH RECURSIVE {BITS}, e AS (SELECT a, b, distance FROM p UNION SELECT b, a, distance FROM p),
 r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
-c AS (SELECT node, min(root) AS component FROM r GROUP BY node), t AS (SELECT a AS node, sum(1 - distance / 64) AS total FROM e GROUP BY 1)
-SELECT component, node, round(total, 6) AS total, row_number() OVER (PARTITION BY component ORDER BY total DESC, node)::INTEGER AS rank FROM c JOIN t USING (node)""")
+m AS (SELECT node, min(root) AS component FROM r GROUP BY node), t AS (SELECT a AS node, sum(1 - distance / 64) AS total FROM e GROUP BY 1)
+SELECT component, node, round(total, 6) AS total, row_number() OVER (PARTITION BY component ORDER BY total DESC, node)::INTEGER AS rank FROM m JOIN t USING (node)""")
 def dup_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each group behind its best connected one."""
-    pairs = _pairs(spark, sf_dir).withColumn("score", 1 - F.col("distance") / 64)
+    pairs = stored(_pairs(_fingerprints(spark, sf_dir)), "pairs").withColumn("score", 1 - F.col("distance") / 64)
     found = reference_order(pairs, linked_components(pairs), "score")
     return found.select("component", "node", F.round("total", 6).alias("total"), "rank")
 
