@@ -94,3 +94,36 @@ def rollup_scores(matches: DataFrame, by: str) -> DataFrame:
     precision = F.coalesce(F.try_divide("hits", F.col("hits") + F.col("wrong")), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hits", F.col("hits") + F.col("missed")), F.lit(0.0))
     return sums.select(by, "hits", "wrong", "missed", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
+
+
+def reading_order(boxes: DataFrame, page: str, key: str, share: float = 0.4, leftward: bool = False) -> DataFrame:
+    """``(page, key, place)``: panels by rows from the top, and by their middles within a row.
+
+    A panel is of the row of the uppermost one left if they share more than ``share`` of the lower height; the row then reaches
+    as far as both do. Equal places follow the key. A page is small: its panels are one array.
+    """
+    kind = boxes.schema[key].dataType.simpleString()
+
+    @F.pandas_udf(f"array<{kind}>")
+    def order(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda panels: _read(panels, share, leftward))
+
+    panel = F.struct((F.col("cy") - F.col("h") / 2).alias("top"), "cx", F.col(key).alias("key"), (F.col("cy") + F.col("h") / 2).alias("low"))
+    known = boxes.select(page, key, "cx", "cy", "h").na.drop()
+    return known.groupBy(page).agg(F.sort_array(F.collect_list(panel)).alias("p")).select(page, F.posexplode(order("p")).alias("place", key))
+
+
+def _read(panels, share: float, leftward: bool) -> list:
+    left = [(p["top"], p["cx"], p["key"], p["low"]) for p in panels]
+    out: list = []
+    while left:
+        (top, _, _, low), row, rest = left[0], left[:1], []
+        for panel in left[1:]:
+            if min(panel[3], low) - max(panel[0], top) > share * min(panel[3] - panel[0], low - top):
+                row.append(panel)
+                top, low = min(top, panel[0]), max(low, panel[3])
+            else:
+                rest.append(panel)
+        out += [p[2] for p in sorted(row, key=lambda p: (-p[1] if leftward else p[1], p[0], p[2]))]
+        left = rest
+    return out

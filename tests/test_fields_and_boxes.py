@@ -1,11 +1,12 @@
 """Dates, tags, boxes and scopes on small cases."""
 
 import datetime
+import pytest
 
 from pyspark.sql import functions as F
 
 from quaymark.functions.fields import date_range, filled, merged_tags, parse_date, rendered
-from quaymark.operators.boxes import best_matches, distinct_boxes, tracks
+from quaymark.operators.boxes import best_matches, distinct_boxes, reading_order, tracks
 from quaymark.operators.scopes import box_around, even_members, numbered_names, within_tolerance
 
 BOX = "cx double, cy double, w double, h double"
@@ -55,3 +56,12 @@ def test_scopes(spark):
     times = spark.createDataFrame([("k", 1, "2024-01-01 00:00:00"), ("k", 2, "2024-01-01 00:00:02"), ("k", 3, "2024-01-01 00:00:05")], "k string, i int, t string")
     stamped = times.withColumn("t", F.col("t").cast("timestamp_ntz"))
     assert sorted((r.i, r.i_r) for r in within_tolerance(stamped, stamped, "k", "t", 2).where("i < i_r").collect()) == [(1, 2)]
+
+
+@pytest.mark.parametrize("leftward, wanted", [(False, [1, 2, 3, 4, 5]), (True, [2, 3, 1, 5, 4])])
+def test_reading_order(spark, leftward, wanted):
+    """A tall panel with two stacked ones beside it is a row; the tier below is another."""
+    panels = [(9, 1, 0.2, 0.3, 0.6), (9, 2, 0.7, 0.15, 0.28), (9, 3, 0.7, 0.45, 0.28), (9, 4, 0.3, 0.8, 0.3), (9, 5, 0.8, 0.81, 0.3), (8, 1, 0.5, 0.5, 0.1), (8, 2, None, 0.5, 0.1)]
+    found = reading_order(spark.createDataFrame(panels, "page long, key long, cx double, cy double, h double"), "page", "key", leftward=leftward)
+    rows = sorted((r.page, r.place, r.key) for r in found.collect())
+    assert [k for p, _, k in rows if p == 9] == wanted and [k for p, _, k in rows if p == 8] == [1]
