@@ -1,8 +1,8 @@
 """Dates, tags, boxes and scopes on small cases."""
 
 import datetime
-import pytest
 
+import pytest
 from pyspark.sql import functions as F
 
 from quaymark.functions.fields import date_range, filled, merged_tags, parse_date, rendered
