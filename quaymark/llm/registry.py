@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import chat, decontaminate, licenses, packing, quality, simhash, token_frames, url_filter, warc_zip, wrappers
+from quaymark.llm import chat, decontaminate, licenses, merkle, packing, quality, simhash, token_frames, url_filter, warc_zip, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrappers": wrappers.main_texts,
     "op9_licenses": licenses.license_scan,
     "op10_quality": quality.quality_rules,
+    "op11_merkle": merkle.merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": warc_zip.ORACLE,
     "op6_chat": chat.ORACLE,
     "op9_licenses": licenses.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
