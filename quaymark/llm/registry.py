@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, chat, decontaminate, licenses, merkle, packing, quality, simhash, token_frames, url_filter, warc_zip, wrappers
+from quaymark.llm import bpe, chat, decontaminate, licenses, merkle, packing, prefix_trie, quality, simhash, token_frames, url_filter, warc_zip, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": token_frames.token_frames,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.license_scan,
     "op10_quality": quality.quality_rules,
     "op11_merkle": merkle.merkle_manifest,
+    "op12_prefix_trie": prefix_trie.prefix_trie,
     "op13_bpe": bpe.bpe_round_trip,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.ORACLE,
     "op9_licenses": licenses.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
