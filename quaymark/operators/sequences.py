@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,3 +66,51 @@ def offset_votes(steps: DataFrame, sequence: str, position: str, value: str, mos
     votes = left.join(right, "v").where("a < b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("votes"))
     best = Window.partitionBy("a", "b").orderBy(F.col("votes").desc(), "offset")
     return votes.where(F.col("votes") >= least).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+
+
+def warping_path(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps ``(i, j)`` of the cheapest path from the first members to the last ones, and what each costs.
+
+    A step goes on in both sequences or in one; of equal ways back the one through both is taken, then the one that stays in ``b``. With a
+    ``band`` only members that far from the straight line between the corners are compared, so that memory is the longer length times the band.
+    """
+    n, m = len(a), len(b)
+    width = m if band is None else min(m, 2 * max(band, -(-m // max(n, 1))) + 1)
+    middle = np.round(np.arange(n) * (m - 1) / max(n - 1, 1)).astype(int)
+    low = np.clip(middle - width // 2, 0, m - width)
+    total = np.full((n, width), np.inf)
+    for i in range(n):
+        cost = np.abs(a[i] - b[low[i] : low[i] + width])
+        if i == 0:
+            total[0] = np.cumsum(cost) if low[0] == 0 else np.inf
+            continue
+        shift = low[i] - low[i - 1]
+        before = np.full(width + 1, np.inf)  # the row above, from the member left of the first one on
+        before[1 : width + 1 - shift] = total[i - 1, shift:]
+        before[0] = total[i - 1, shift - 1] if shift > 0 else np.inf
+        entered, run = cost + np.minimum(before[:-1], before[1:]), np.cumsum(cost)
+        total[i] = run + np.minimum.accumulate(entered - run)
+
+    def at(i: int, j: int) -> float:
+        return total[i, j - low[i]] if i >= 0 and 0 <= j - low[i] < width else np.inf
+
+    i, j, path = n - 1, m - 1, [(n - 1, m - 1)]
+    while i or j:
+        ways = [(i - 1, j - 1), (i - 1, j), (i, j - 1)]
+        i, j = min((w for w in ways if w[0] >= 0 and w[1] >= 0), key=lambda w: at(*w))
+        path.append((i, j))
+    rows, columns = np.array(path[::-1]).T
+    return rows, columns, np.abs(np.asarray(a)[rows] - np.asarray(b)[columns])
+
+
+def dtw_paths(pairs: DataFrame, key: str, a: str, b: str, band: int | None = None) -> DataFrame:
+    """``key, step, i, j, cost``: the warping path of each pair of arrays, a row for each step. Empty or null ones have none."""
+    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k, x, y in zip(rows[key], rows[a], rows[b]):
+                if x is not None and y is not None and len(x) and len(y):
+                    i, j, cost = warping_path(np.asarray(x, float), np.asarray(y, float), band)
+                    yield pd.DataFrame({key: k, "step": range(len(i)), "i": i, "j": j, "cost": cost})
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, a, b).mapInPandas(trace, f"{key} {kind}, step long, i long, j long, cost double")

@@ -4,76 +4,23 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaymark.operators.graph import connected_components
-from quaymark.operators.similarity import cosine, dot, literal, norm
+from quaymark.operators.neighbours import approximate_clusters, threshold_clusters, unit_rows
+from quaymark.operators.similarity import cosine, dot, literal
 from quaymark.operators.sequences import kept_steps
 from quaymark.plans.registry import query, table
 from quaymark.plans.vectors import _vector
 from quaymark.sources.shared import stored
 
 EPS, LEAST = 0.55, 2
-#: Rows of a block of vectors that one task multiplies.
-BLOCK = 2048
 UNIT = """u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"""
 NEAR = f"""{UNIT}, e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND 1 - list_dot_product(x.v, y.v) <= {EPS})"""
 
 
-def unit_rows(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, v)`` of unit length; vectors without length are left out."""
-    return vectors.withColumn("_n", norm(F.col(column))).where("_n > 0").select(F.col(key).alias("key"), F.transform(F.col(column).cast("array<double>"), lambda x: x / F.col("_n")).alias("v"))
-
-
-def near_pairs(units: DataFrame, eps: float, pivots: int = 16) -> DataFrame:
-    """``(a, b)``, ``a < b``: all unit vectors within a cosine distance of ``eps``.
-
-    Each vector lives with the nearest of a few pivots, and is copied to every pivot that is no farther than twice the radius
-    beyond it. By the triangle inequality, what is near a vector has a copy where that one lives, so pairs are made
-    within such cells alone and none is lost. A cell is cut into blocks of some ``BLOCK`` rows, and tasks multiply a block of
-    residents with one of copies, so a hot cell is spread over many.
-    """
-    chosen = [list(r[0]) for r in units.orderBy(F.md5(F.col("key").cast("string")), "key").limit(pivots).select("v").collect()]
-    if not chosen:
-        return units.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    radius = math.sqrt(2 * eps)
-    away = F.array(*[F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("v"), literal(p)))) for p in chosen])
-    placed = stored(units.withColumn("away", away), "near-cells")
-    home = placed.select("key", "v", (F.array_position("away", F.array_min("away")) - 1).cast("int").alias("cell"))
-    copies = placed.select("key", "v", F.array_min("away").alias("least"), F.posexplode("away").alias("cell", "d"))
-    copies = copies.where(F.col("d") <= F.col("least") + 2 * radius + 1e-9).select("key", "v", "cell")
-    # residents of a cell are among its copies
-    blocks = stored(copies.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-blocks")
-    own, every = F.pmod(F.xxhash64("key"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = home.join(blocks, "cell").select("key", "v", "cell", own.alias("x"), every.alias("y"))
-    right = copies.join(blocks, "cell").select(F.col("key").alias("key_b"), F.col("v").alias("v_b"), F.col("cell").alias("cell_b"), every.alias("x_b"), own.alias("y_b"))
-
-    def multiply(residents: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if residents.empty or others.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        a, b = residents["key"].to_numpy(), others["key_b"].to_numpy()
-        i, j = np.nonzero(1 - np.stack(residents["v"]) @ np.stack(others["v_b"]).T <= eps)
-        pairs = pd.DataFrame({"a": a[i], "b": b[j]})
-        return pairs[pairs["a"] < pairs["b"]]
-
-    return left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell_b", "x_b", "y_b")).applyInPandas(multiply, "a long, b long")
-
-
-def threshold_clusters(units: DataFrame, eps: float, least: int) -> DataFrame:
-    """``(key, cluster)``: components of near vectors, numbered by falling size and first member; small ones are -1."""
-    found = connected_components(stored(near_pairs(units, eps), "near-pairs"), "a", "b")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # a component is a row here
-    numbered = sizes.select("component", (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).alias("cluster"))
-    of = found.join(numbered, "component").select(F.col("node").alias("key"), "cluster")
-    return units.select("key").join(of, "key", "left").select("key", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
 @query(f"""WITH RECURSIVE {NEAR}, r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
 c AS (SELECT node, min(root) AS component FROM r GROUP BY node), s AS (SELECT component, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= {LEAST}),
 k AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) - 1 AS cluster FROM s)
@@ -84,6 +31,13 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("vec_id"), F.col("cluster").cast("int").alias("cluster"))
 
 
+@query()
+def vector_clusters_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters from tables of random hyperplanes, which may miss a link."""
+    found = approximate_clusters(unit_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), EPS, LEAST)
+    return found.select(F.col("key").alias("vec_id"), F.col("cluster").cast("int").alias("cluster"))
+
+
 @query()
 def vector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means on unit vectors under the cosine, k from the number of rows."""

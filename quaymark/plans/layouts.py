@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quaymark.operators.boxes import reading_order
 from quaymark.operators.graph import connected_components
+from quaymark.operators.neighbours import links_within
 from quaymark.operators.windows import medians
-from quaymark.plans.clusters import NEAR, near_pairs, unit_rows
+from quaymark.plans.clusters import NEAR, unit_rows
 from quaymark.plans.regions import SQL_BOXES, _boxes
 from quaymark.plans.registry import query, table
 from quaymark.sources.shared import stored
@@ -56,9 +57,8 @@ def era_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each person's vectors by chains of near ones, the chains in the order of their middle times."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     owners = vectors.select("vec_id", "label")
-    pairs = stored(near_pairs(unit_rows(vectors, "vec_id", "embedding"), 0.55), "era-pairs")
-    pairs = pairs.join(owners.toDF("a", "la"), "a").join(owners.toDF("b", "lb"), "b").where("la = lb").select("a", "b")
-    found = connected_components(pairs, "a", "b")
+    units = unit_rows(vectors, "vec_id", "embedding").join(owners.toDF("key", "cell"), "key")
+    found = connected_components(stored(links_within(units.where("cell IS NOT NULL").select("cell", "key", "v"), 0.55), "era-links"), "a", "b")
     faces = unit_rows(vectors, "vec_id", "embedding").select(F.col("key").alias("vec_id")).join(owners, "vec_id").join(found, F.col("node") == F.col("vec_id"), "left")
     faces = stored(faces.select("vec_id", "label", F.coalesce("component", "vec_id").alias("chain"), (F.col("vec_id") * 37 % 1000).alias("epoch")), "eras")
     middles = medians(faces, "chain", "epoch", "vec_id", "middle").join(faces.select("chain", "label").distinct(), "chain")
