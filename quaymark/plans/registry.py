@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quaymark.plans import browse, clusters, filters, grouping, layouts, library, media, regions, relations, searching, storage, vectors  # noqa: E402, F401
+from quaymark.plans import browse, clusters, filters, grouping, layouts, library, media, regions, relations, searching, stages, storage, vectors  # noqa: E402, F401

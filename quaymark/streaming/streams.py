@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +81,33 @@ def suppressed_within(stream: DataFrame, key: str, time: str, tie: str, minutes:
         yield rows[kept]
 
     return stream.groupBy(key).applyInPandasWithState(keep, stream.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def fed(spark: SparkSession, feeds: Sequence[DataFrame], made: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What ``made`` appends of a stream whose rows come in several feeds, each drained before the next is written.
+
+    One checkpoint holds the state between the runs, so that a window may begin in one feed and end in a later one, and rows that
+    come after the watermark of the feeds before are dropped. What is still open at the end stays in the state.
+    """
+    source, target, checkpoint = (new_path(spark, f"feed-{name}{part}") for part in ("", "-out", "-checkpoint"))
+    found = None
+    for feed in feeds:
+        feed.write.mode("append").parquet(source)
+        found = made(spark.readStream.schema(feed.schema).parquet(source))
+        writer = found.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append")
+        writer.format("parquet").start(target).awaitTermination()
+    if found is None:
+        raise ValueError("a stream needs a feed")
+    return spark.read.schema(found.schema).parquet(target)
+
+
+def session_counts(stream: DataFrame, time: str, key: str, gap: str, late: str) -> DataFrame:
+    """``key, start, end, n`` of sessions that a gap closes, once the watermark has passed them."""
+    sessions = stream.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"))
+    return sessions.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def sliding_counts(stream: DataFrame, time: str, key: str, width: str, step: str, late: str) -> DataFrame:
+    """``key, start, n`` of windows that overlap, once the watermark has passed them."""
+    windows = stream.withWatermark(time, late).groupBy(key, F.window(time, width, step).alias("w")).agg(F.count("*").alias("n"))
+    return windows.select(key, F.col("w.start").alias("start"), "n")
