@@ -57,7 +57,10 @@ def shared_step_pairs(steps: DataFrame, limit: int = 5, least: int = 2) -> tuple
 
 def sampled(fingerprints: DataFrame) -> DataFrame:
     """The fingerprints that their own hash picks, silence left out."""
-    picked = F.shiftright(F.col("value") * MULTIPLIER, 16).bitwiseAND(0xFFFF) % SAMPLE == 0
+    # the lower half of a 64-bit product, from the halves of the value, which a long can hold
+    low, high = F.col("value").bitwiseAND(0xFFFF), F.shiftright("value", 16).bitwiseAND(0xFFFF)
+    product = low * MULTIPLIER + F.shiftleft((high * MULTIPLIER).bitwiseAND(0xFFFF), 16)
+    picked = F.shiftright(product, 16).bitwiseAND(0xFFFF) % SAMPLE == 0
     return fingerprints.where(~F.col("value").isin(*SILENT) & picked)
 
 
