@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.operators.scopes import box_around
+
 _SPLIT = re.compile(r'(?:[^\s"]+|"[^"]*"?)+')
 _RANGE = re.compile(r"(>=|<=|>|<|=)?(-?\d+(?:\.\d+)?)$")
 
@@ -36,6 +38,11 @@ class Fields:
     names: dict[str, Column] = field(default_factory=dict)
     places: Column | None = None
     flags: dict[str, Column] = field(default_factory=dict)
+    #: Text columns of which a part is asked for, such as ``desc:``; latitude and longitude, for ``gps:``, ``near:`` and ``bbox:``.
+    parts: dict[str, Column] = field(default_factory=dict)
+    position: tuple[Column, Column] | None = None
+    #: Tokens that other tables answer, such as ``person:``: they give the keys that meet them, or none for a value that they don't know.
+    relations: dict[str, Callable[[str], DataFrame | None]] = field(default_factory=dict)
     #: Tokens and sort keys of one's own.
     handlers: dict[str, Callable[[str], Column]] = field(default_factory=dict)
     sorts: dict[str, Column] = field(default_factory=dict)
@@ -183,6 +190,28 @@ def every_term(text: str, columns: list[Column]) -> Column:
     return condition
 
 
+def near_condition(value: str, position: tuple[Column, Column]) -> Column:
+    """``lat,lon`` or ``lat,lon,km``: inside the box around a point, one kilometre without a distance."""
+    try:
+        numbers = [float(x) for x in value.split(",")]
+    except ValueError:
+        return F.lit(False)
+    if len(numbers) not in (2, 3):
+        return F.lit(False)
+    return F.coalesce(box_around(*position, (numbers[0], numbers[1]), numbers[2] if len(numbers) == 3 else 1.0), F.lit(False))
+
+
+def box_condition(value: str, position: tuple[Column, Column]) -> Column:
+    """``south,west,north,east``; a west beyond the east goes round the back of the globe."""
+    try:
+        south, west, north, east = (float(x) for x in value.split(","))
+    except ValueError:
+        return F.lit(False)
+    lat, lon = position
+    across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return F.coalesce(lat.between(south, north) & across, F.lit(False))
+
+
 def compile_search(text: str, fields: Fields) -> tuple[Column, list[Column]]:
     """The condition and the order of a search; the key is the last order column."""
     handlers: dict[str, Callable[[str], Column]] = {
@@ -199,6 +228,13 @@ def compile_search(text: str, fields: Fields) -> tuple[Column, list[Column]]:
     if fields.path is not None:
         handlers["path"] = lambda v: _contains(fields.path, v)
         handlers["ext"] = lambda v: F.lower(fields.path).rlike("\\.(" + "|".join(re.escape(x.lower().lstrip(".")) for x in v.split("|")) + ")$")
+    for name, column in fields.parts.items():
+        handlers[name] = lambda v, c=column: _contains(c, v)
+    if fields.position is not None:
+        known = fields.position[0].isNotNull() & fields.position[1].isNotNull()
+        handlers["gps"] = lambda v: known if v in ("yes", "any") else ~known
+        handlers["near"] = lambda v: near_condition(v, fields.position)
+        handlers["bbox"] = lambda v: box_condition(v, fields.position)
     if fields.places is not None:
         handlers["location"] = lambda v: place_condition(v, fields.places)
     for name, column in fields.names.items():
@@ -235,8 +271,18 @@ def compile_search(text: str, fields: Fields) -> tuple[Column, list[Column]]:
 
 
 def search(files: DataFrame, text: str, fields: Fields, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """The rows that meet a search, in its order; ``limit`` and ``offset`` take a page."""
-    condition, order = compile_search(text, fields)
+    """The rows that meet a search, in its order; ``limit`` and ``offset`` take a page.
+
+    Tokens that other tables answer are semi and anti joins on the key.
+    """
+    own = []
+    for token in _SPLIT.findall(text):
+        name, colon, value = token.removeprefix("-").partition(":")
+        if not colon or name not in fields.relations:
+            own.append(token)
+        elif (keys := fields.relations[name](value.strip('"'))) is not None:
+            files = files.join(keys.select(fields.key), fields.key, "left_anti" if token.startswith("-") else "left_semi")
+    condition, order = compile_search(" ".join(own), fields)
     found = files.where(condition).orderBy(*order)
     if offset:
         found = found.offset(offset)

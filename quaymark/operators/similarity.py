@@ -34,6 +34,24 @@ def top_k(vectors: DataFrame, vector: list[float], k: int, key: str, column: str
     return scored.orderBy(F.col("score").desc_nulls_last(), key).limit(k)
 
 
+def about_keys(vectors: DataFrame, key: str, column: str, wanted: list[float], turned: list[list[float]], threshold: float = 0.0, least: float = 0.05, ratio: float = 0.75) -> DataFrame:
+    """Keys of vectors that are near enough to a wanted one and away from others.
+
+    A positive ``threshold`` is the cut. Else it follows from the scores of the query: at least one standard deviation above their mean,
+    ``ratio`` of the best and ``least``, but never above the best. Vectors of another width are not asked.
+    """
+    same = vectors.where(F.size(column) == len(wanted))
+    score = cosine(F.col(column), literal(wanted))
+    for vector in turned:
+        score = score - 0.7 * cosine(F.col(column), literal(vector))
+    scored = same.select(key, score.alias("score")).where("score IS NOT NULL")
+    if threshold > 0:
+        return scored.where(F.col("score") >= threshold).select(key)
+    best = F.max("score")
+    cut = F.least(F.greatest(F.lit(least), F.avg("score") + F.stddev_pop("score"), F.when(best > 0, best * ratio).otherwise(F.lit(least))), best)
+    return scored.join(F.broadcast(scored.agg(cut.alias("cut")))).where("score >= cut").select(key)  # one row
+
+
 def sign_bits(vector: Column, width: int = 64) -> Column:
     """The signs of the first ``width`` numbers as a long."""
     bit = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0))
