@@ -85,7 +85,7 @@ def position_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(placed, "gps:yes near:40,-140,2500 -bbox:30,170,60,-150", fields).select("event_id")
 
 
-@query("""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE contains(lower(text), 'ing') AND contains(lower(source), 'e') AND NOT contains(lower(lang), 'fr')
+@query("""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE contains(lower(text), 'ing') AND contains(lower(source), '1') AND NOT contains(lower(lang), 'fr')
 AND coalesce(quality * 4, n_chars % 5) >= 2 ORDER BY coalesce(quality * 4, n_chars % 5) DESC NULLS LAST, doc_id LIMIT 200""")
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``desc:``, ``event:``, ``lang:`` by a part of their text, and ``rating:`` by a user's stars or else the model's."""
@@ -93,7 +93,7 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     rating = F.coalesce("user_stars", F.col("n_chars") % 5)
     fields = _untagged("doc_id", parts={"desc": F.col("text"), "event": F.col("source"), "lang": F.col("lang")}, numbers={"rating": rating})
-    return search(docs, 'desc:"ing" event:e -lang:fr rating:>=2 sort:-rating', fields, 200).select("doc_id")
+    return search(docs, 'desc:"ing" event:1 -lang:fr rating:>=2 sort:-rating', fields, 200).select("doc_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, coalesce(CASE WHEN l_returnflag = 'R' THEN l_shipdate END, CASE WHEN l_linestatus = 'O' THEN l_shipdate + INTERVAL 1 DAY END) AS taken FROM lineitem)
