@@ -127,3 +127,81 @@ def _read(panels, share: float, leftward: bool) -> list:
         out += [p[2] for p in sorted(row, key=lambda p: (-p[1] if leftward else p[1], p[0], p[2]))]
         left = rest
     return out
+
+
+# Two boxes of a class are one object at this overlap, or if this share of the smaller one lies in the other.
+SAME_OVERLAP, SAME_CONTAINED = 0.5, 0.85
+
+
+def _same_object(a: tuple, b: tuple) -> bool:
+    """``a`` and ``b`` are (key, kind, cx, cy, w, h)."""
+    if a[1] != b[1]:
+        return False
+    overlap = _iou(a[2:], b[2:])
+    if overlap >= SAME_OVERLAP or overlap <= 0:
+        return overlap > 0
+    areas = a[4] * a[5], b[4] * b[5]
+    return overlap * sum(areas) / (1 + overlap) / min(areas) >= SAME_CONTAINED
+
+
+def _image_verdicts(truth: list[tuple], guesses: list[tuple], good: float, least: float, tolerance: float) -> list[tuple]:
+    """``(verdict, kind, overlap, truth key, guess key, confused with)`` of the boxes of one image."""
+    out, kept = [], []
+    for box in truth:
+        if any(_same_object(k, box) for k in kept):
+            out.append(("dup_gt", box[1], 0.0, box[0], None, None))
+        else:
+            kept.append(box)
+    free = dict(enumerate(guesses))
+    taken = []
+    for box in kept:
+        scored = [(_iou(box[2:], g[2:]), -j) for j, g in free.items() if g[1] == box[1]]
+        best, j = max(scored, default=(0.0, 0))
+        if best <= 0 or best < least:
+            out.append(("dropped", box[1], 0.0, box[0], None, None))
+            continue
+        guess = free.pop(-j)
+        taken.append((-j, guess))
+        size = guess[4] * guess[5] / (box[4] * box[5])
+        verdict = "correct" if best >= good else "tightened" if size < 1 - tolerance else "loosened" if size > 1 + tolerance else "shifted"
+        out.append((verdict, box[1], best, box[0], guess[0], None))
+    matched = [g for _, g in sorted(taken)]
+    for guess in free.values():
+        if any(_same_object(m, guess) for m in matched):
+            out.append(("dup_pred", guess[1], 0.0, None, guess[0], None))
+            continue
+        matched.append(guess)
+        overlap, _, other = max(((_iou(b[2:], guess[2:]), -n, b) for n, b in enumerate(kept) if b[1] != guess[1]), default=(0.0, 0, None))
+        confused = other is not None and overlap > 0 and overlap >= least
+        out.append(("added", guess[1], overlap if confused else 0.0, None, guess[0], other[1] if confused else None))
+    return out
+
+
+def box_diff(truth: DataFrame, guesses: DataFrame, good: float = 0.7, least: float = 0.3, tolerance: float = 0.15) -> DataFrame:
+    """``image, verdict, kind, overlap, gt, pred, confused_with`` of the boxes (image, key, kind, cx, cy, w, h) of images.
+
+    True boxes that are one object with an earlier one are ``dup_gt``. The others take turns by key, each the free guess of its kind that overlaps it most: ``correct`` from
+    ``good`` on, else from ``least`` on ``tightened``, ``loosened`` or ``shifted`` by its area; without one it is ``dropped``. A guess left is ``dup_pred`` if it is one
+    object with a guess before it, else ``added``, and confused with a kind whose box it overlaps. An image's boxes are few and come to one task; boxes with a null side are left out.
+    """
+    sides = ("gt", "pred")
+    rows = [d.select("image", "key", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), *[F.col(c).cast("double").alias(c) for c in BOX], F.lit(side).alias("side")) for side, d in zip(sides, (truth, guesses))]
+    kinds = {c: truth.schema[c].dataType.simpleString() for c in ("image", "key")}
+
+    names = ["image", "verdict", "kind", "overlap", "gt", "pred", "confused_with"]
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, boxes = None, {side: [] for side in sides}
+        for frame in frames:
+            out = []
+            for image, side, *box in frame[["image", "side", "key", "kind", *BOX]].itertuples(index=False, name=None):
+                if image != now:
+                    out += [(now, *v) for v in _image_verdicts(*boxes.values(), good, least, tolerance)]
+                    now, boxes = image, {side: [] for side in sides}
+                boxes[side].append(tuple(box))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        yield pd.DataFrame([(now, *v) for v in _image_verdicts(*boxes.values(), good, least, tolerance)], columns=names, dtype=object)
+
+    schema = f"image {kinds['image']}, verdict string, kind string, overlap double, gt {kinds['key']}, pred {kinds['key']}, confused_with string"
+    both = rows[0].unionByName(rows[1]).na.drop(subset=[*BOX, "image", "key"])
+    return both.repartition("image").sortWithinPartitions("image", "side", "key").mapInPandas(judge, schema)
