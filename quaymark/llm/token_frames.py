@@ -182,27 +182,28 @@ def read_frames(manifest: DataFrame) -> DataFrame:
     spans = (
         manifest.where("n_docs > 0")
         .withColumn("from_doc", F.explode(F.expr(f"sequence(0L, n_docs - 1, {READ_FRAMES}L)")))
-        .select("path", "from_doc", F.least(F.col("from_doc") + READ_FRAMES, "n_docs").alias("to_doc"))
+        .select("path", F.sequence("from_doc", F.least(F.col("from_doc") + READ_FRAMES, "n_docs") - 1).alias("wanted"))
     )
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for span in (row for batch in batches for row in batch.to_pylist()):
-            fs, path = filesystem(span["path"])
-            with fs.open_input_file(path) as file:
-                reader = FrameReader(file, file.size())
-                rows = []
-                for nth in range(span["from_doc"], span["to_doc"]):
-                    doc, ids = reader.docs[nth], reader.document(nth)
-                    doc_id = int(doc["doc_id"]) if doc["known"] else None
-                    rows.append((span["path"], nth, doc_id, len(ids), ids.tobytes()))
-                    if len(rows) == TEXTS:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
     n = max(1, spans.count())
-    return spans.repartition(n).mapInArrow(read, READ)
+    return spans.repartition(n).mapInArrow(_read_wanted, READ)
+
+
+def _read_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of spans (path, numbers of the wanted ones): a file's two indexes and the frames of these alone are fetched."""
+    for span in (row for batch in batches for row in batch.to_pylist()):
+        fs, path = filesystem(span["path"])
+        with fs.open_input_file(path) as file:
+            reader = FrameReader(file, file.size())
+            rows = []
+            for nth in span["wanted"]:
+                doc, ids = reader.docs[nth], reader.document(nth)
+                doc_id = int(doc["doc_id"]) if doc["known"] else None
+                rows.append((span["path"], nth, doc_id, len(ids), ids.tobytes()))
+                if len(rows) == TEXTS:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,9 +213,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def document_index(manifest: DataFrame) -> DataFrame:
+    """``path, nth, doc_id``: what the files say of themselves; of each file its two indexes are fetched and no frame."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in (path for batch in batches for path in batch["path"].to_pylist()):
+            fs, path = filesystem(uri)
+            with fs.open_input_file(path) as file:
+                docs = FrameReader(file, file.size()).docs
+            for at in range(0, len(docs), READ_FRAMES):
+                some = docs[at : at + READ_FRAMES]
+                ids = pa.array(some["doc_id"], pa.int64(), mask=some["known"] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), ids], names=["path", "nth", "doc_id"])
+
+    files = manifest.where("n_docs > 0").select("path")
+    return files.repartition(max(1, files.count())).mapInArrow(read, "path string, nth long, doc_id long")
+
+
 def document_ids(files: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Ids of the requested documents only: ``doc_ids`` has a column ``doc_id``."""
-    return read_frames(files).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    """Ids of the requested documents only: ``doc_ids`` has a column ``doc_id``. Only their frames are fetched and unpacked."""
+    found = document_index(files).join(doc_ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    spans = found.groupBy("path", F.expr(f"nth div {READ_FRAMES}").alias("span")).agg(F.sort_array(F.collect_list("nth")).alias("wanted"))
+    return spans.select("path", "wanted").mapInArrow(_read_wanted, READ)
 
 
 def token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,16 @@ recur and how much text varies there. The wrapper follows from these counts alon
 
 - texts that recur in ``RECURS`` of the pages are template;
 - nodes whose text varies are slots, and those whose varying text is mostly links are menus;
-- the content is the deepest container that holds nearly all text of the slots, with no varying heading beside it.
+- the content is the deepest container that holds nearly all text of the slots, with no varying heading, paragraph or other block
+  of text beside it; an article is not looked into, and one that holds most is taken whatever containers follow it.
 
 A page's text is what stands in the content slots of its layout, in the page's order, without template texts. A page that
 shares nearly all text with the reference is a copy and no evidence. Where no other page gives evidence (a host of
 one page) or a page does not have the content container of its layout, the same rule is applied to the text of that page alone.
 Elements that say what they are (nav, footer, aside, form and their like, or such a role) are never content, nor are
-elements whose class is one of ``ASIDES`` word for word, unless they hold most of the text that varies.
+elements whose class is one of ``ASIDES`` word for word, unless they hold most of the text that varies. Readers' comments are told by a
+word for comments in any class or id (``reader-comments``, ``commentList``); such an element stays if it holds most of the
+text and an article or a title, as a page's frame does that only says whether comments are open.
 
 What travels to a page is its layout's skeleton: labels, text hashes and counts of one page. Counts are
 added up in each task and by partial sums before the shuffle, so a host with a third of all pages is split.
@@ -46,8 +49,6 @@ LINKS = 0.5
 COPY = 0.05
 #: A container with this share of its parent's content is looked into.
 MAIN = 0.8
-#: Layouts of a smaller share of a host's pages are taken as its most frequent one.
-LAYOUT = 0.05
 #: Elements nested deeper are taken as their parent, so that no page exhausts the stack.
 DEPTH = 200
 ROWS = 256
@@ -65,12 +66,22 @@ LEFT_OUT = frozenset("nav header footer aside form menu dialog button head".spli
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
 ASIDES = frozenset("ad ads advert adverts advertisement sidebar comments cookie-banner cookie-notice breadcrumbs newsletter share-buttons".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are text themselves: beside a container they belong to what it holds.
+TEXTS = HEADINGS | frozenset("p blockquote pre ul ol dl table figure figcaption".split())
+FRAMES = ("", "html", "body")
+_WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<]*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Containers that tell layouts apart.
 CONTAINERS = ("<article", "<main", "<section", "<aside", "<header", "<nav", "<form", "<table", "<div")
 
 
+def _comments(name: str) -> bool:
+    """Whether a class or id has a word for readers' comments."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return any(w == "disqus" or (w.startswith("comment") and not w.startswith("commentar")) for w in words)
+
+
 class Node:
     """An element that isn't inline; ``out``: it or one above is left out."""
 
@@ -151,7 +162,8 @@ class Page:
         own = tag == "header" and any(n.tag in ("article", "main", "section") for n in self._above())
         out = (tag in LEFT_OUT and not own) or named.get("role", "").lower() in ROLES
         classes = (named.get("class") or "").split()
-        aside = "!" if ASIDES.intersection(x.lower() for x in (*classes, named.get("id", ""))) else ""
+        names = (*classes, named.get("id", ""))
+        aside = "!!" if any(map(_comments, names)) else "!" if ASIDES.intersection(x.lower() for x in names) else ""
         label = f"{tag}.{re.sub('[0-9]+', '', (classes or [''])[0])}{aside}"
         node = Node(tag, label, self.at, out or self.at.out)
         self.at.children.append(node)
@@ -295,23 +307,33 @@ class Reference:
         self.texts = {int(k): set(v) for k, v in parts["texts"].items()}
 
 
-def content(tree: Tree, chars: dict[int, int]) -> int:
-    """The deepest container that holds nearly all of ``chars``, the varying text of each node but that of menus."""
-    mass, headed = [0] * len(tree.labels), [False] * len(tree.labels)
+def content(tree: Tree, chars: dict[int, int]) -> tuple[int, set[int]]:
+    """The deepest container that holds nearly all of ``chars``, the varying text of each node but that of menus; and the asides that stay."""
+    mass, headed, titled, kept = [0] * len(tree.labels), [False] * len(tree.labels), [False] * len(tree.labels), set()
+    tags = [label.partition(".")[0] for label in tree.labels]
     whole = sum(chars.values())
     for i in range(len(tree.labels) - 1, -1, -1):  # children have larger numbers
         mass[i] = chars.get(i, 0) + sum(mass[c] for c in tree.children[i])
-        headed[i] = (chars.get(i, 0) > 0 and tree.labels[i].partition(".")[0] in HEADINGS) or any(headed[c] for c in tree.children[i])
-        if tree.labels[i].endswith("!") and 2 * mass[i] <= whole:
-            mass[i], headed[i] = 0, False
+        headed[i] = (chars.get(i, 0) > 0 and tags[i] in HEADINGS) or any(headed[c] for c in tree.children[i])
+        titled[i] = tags[i] == "article" or (tags[i] == "h1" and chars.get(i, 0) > 0) or any(titled[c] for c in tree.children[i])
+        if tree.labels[i].endswith("!"):
+            if 2 * mass[i] <= whole or (tree.labels[i].endswith("!!") and not titled[i]):
+                mass[i], headed[i] = 0, False
+            else:
+                kept.add(i)
     at = 0
-    while tree.children[at]:
+    while tree.children[at] and tags[at] != "article":
         best = max(tree.children[at], key=lambda c: mass[c])
-        block = 2 * chars.get(best, 0) > mass[best]
-        if block or mass[best] < MAIN * mass[at] or any(headed[c] for c in tree.children[at] if c != best):
+        beside = [c for c in tree.children[at] if c != best and (headed[c] or (mass[c] > 0 and tags[c] in TEXTS))]
+        if chars.get(at, 0) > 0 and tags[at] not in FRAMES:
+            break
+        if tags[best] == "article" and 2 * mass[best] > mass[at]:
+            if any(c < best for c in beside):
+                break
+        elif beside or 2 * chars.get(best, 0) > mass[best] or mass[best] < MAIN * mass[at]:
             break
         at = best
-    return at
+    return at, kept
 
 
 COUNTS = "host string, layout long, node int, text long, pages long, chars long, linked long"
@@ -339,17 +361,17 @@ class Wrapper:
 
     def __init__(self, reference: Reference, template: set[tuple[int, int]], slots: dict[int, int], menus: set[int]) -> None:
         self.reference, self.template, self.slots, self.menus = reference, template, slots, menus
-        self.content = content(reference.tree, slots) if slots else None
+        self.content, self.kept = content(reference.tree, slots) if slots else (None, set())
 
 
-def _within(page: Page, tree: Tree, number: dict[int, int], main: int) -> set[int]:
-    """The identities of the nodes of a page below the node ``main`` of its tree, but those of asides."""
+def _within(page: Page, number: dict[int, int], main: int, kept: set[int]) -> set[int]:
+    """The identities of the nodes of a page below the node ``main`` of its tree, but those of asides that are not ``kept``."""
     found: set[int] = set()
 
     def add(node: Node) -> None:
         found.add(id(node))
         for child in node.children:
-            if not child.label.endswith("!"):
+            if not child.label.endswith("!") or number[id(child)] in kept:
                 add(child)
 
     def look(node: Node) -> None:
@@ -372,7 +394,7 @@ def main_text(page: Page, wrapper: Wrapper) -> str | None:
     main = next((i for i, at in match.items() if at == wrapper.content), None)
     if main is None:
         return None
-    inside, kept = _within(page, tree, number, main), []
+    inside, kept = _within(page, number, main, {i for i, at in match.items() if at in wrapper.kept}), []
     for node, text, linked in page.blocks:
         at = match.get(number[id(node)])
         if node.out or id(node) not in inside or at in wrapper.menus or (at, text_hash(text)) in wrapper.template:
@@ -390,19 +412,15 @@ def single_text(page: Page) -> str:
     blocks = [(node, text) for node, text, linked in page.blocks if not node.out and linked <= LINKS * len(text)]
     for node, text in blocks:
         chars[number[id(node)]] = chars.get(number[id(node)], 0) + len(text)
-    inside = _within(page, tree, number, content(tree, chars))
+    inside = _within(page, number, *content(tree, chars))
     return "\n\n".join(text for node, text in blocks if id(node) in inside)
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
-    """The pages with their host and layout: the kinds of containers that they have, if enough of the host's pages have these."""
+    """The pages with their host and layout: the kinds of containers that they have."""
     html = F.lower("html")
-    shape = sum((F.coalesce(F.contains(html, F.lit(tag)).cast("long"), F.lit(0)) * (1 << i) for i, tag in enumerate(CONTAINERS)), F.lit(0).cast("long"))
-    shaped = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"), shape.alias("shape")).withColumn("filled", F.col("shape") > 0)
-    sizes = stored(shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.max("filled").alias("filled")), "wrapper-shapes")
-    hosts = sizes.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("filled", "n", "shape")).alias("top"))
-    layouts = sizes.join(hosts, "host").select("host", "shape", F.when(F.col("filled") & (F.col("n") >= LAYOUT * F.col("all")), F.col("shape")).otherwise(F.col("top.shape")).alias("layout"))
-    return shaped.join(stored(layouts, "wrapper-layouts"), ["host", "shape"]).select("page_id", "url", "html", "host", "layout", (F.col("shape") == F.col("layout")).alias("own"))
+    layout = sum((F.coalesce(F.contains(html, F.lit(tag)).cast("long"), F.lit(0)) * (1 << i) for i, tag in enumerate(CONTAINERS)), F.lit(0).cast("long"))
+    return pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"), layout.alias("layout"))
 
 
 def references(pages: DataFrame) -> DataFrame:
@@ -413,8 +431,8 @@ def references(pages: DataFrame) -> DataFrame:
         return skeleton(html)
 
     # one row for each layout and task before the shuffle; the pages are fetched by their ids afterwards
-    first = stored(pages.where("own").groupBy("host", "layout").agg(F.min("page_id").alias("page_id")).where("page_id is not null"), "wrapper-firsts")
-    chosen = pages.where("own").join(first, ["host", "layout", "page_id"]).groupBy("host", "layout").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
+    first = stored(pages.groupBy("host", "layout").agg(F.min("page_id").alias("page_id")).where("page_id is not null"), "wrapper-firsts")
+    chosen = pages.join(first, ["host", "layout", "page_id"]).groupBy("host", "layout").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
     return stored(chosen.select("host", "layout", packed("html").alias("skeleton")), "wrapper-skeletons")
 
 

@@ -83,6 +83,27 @@ def brute_rule(url):
     return host, path, max(fits)[1:] if fits else None
 
 
+def test_op1_fetches_the_frames_asked_for_alone(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 20) AS text")
+    files = token_frames.write_frames(docs, new_path(spark, "tokens"), default_tokenizer())
+    wanted = {5, 6, 1499, 2999}
+    index = token_frames.document_index(files).collect()
+    assert sorted(r.doc_id for r in index) == list(range(3000))
+    for path in {r.path for r in index}:  # all other frames are spoilt
+        name = filesystem(path)[1]
+        with open(name, "r+b") as file:
+            reader = token_frames.FrameReader(file, len(open(name, "rb").read()))
+            spoilt = [r.nth for r in index if r.path == path and r.doc_id not in wanted]
+            for nth in spoilt:
+                frame = int(reader.docs[nth]["first_frame"])
+                file.seek(int(reader.starts[frame]))
+                file.write(b"x" * int(reader.entries[frame]["packed"]))
+    asked = spark.createDataFrame([(i,) for i in [*wanted, 5, None, 9999]], "doc_id long")
+    assert sorted(r.doc_id for r in token_frames.document_ids(files, asked).collect()) == sorted(wanted)
+    with pytest.raises(Exception, match="rror"):
+        token_frames.document_ids(files, spark.createDataFrame([(7,)], "doc_id long")).collect()
+
+
 def test_op2_rules(spark, edge_dir):
     found = run("op2_url_filter", spark, edge_dir)
     wanted = Counter()
@@ -453,6 +474,56 @@ def test_op8_the_wrapper_decides():
     assert wrappers.main_text(page, wrappers.Wrapper(reference, template, slots, set())) == "A title\n\nOne text.\n\nMore\n\nOther text."
 
 
+def probe(i, name, before, after, comments=0):
+    body = f"<p>Intro {i} comes first.</p><div class='body'><p>{f'Much text {i} and more. ' * 12}</p></div><p>Closing {i} comes last.</p>"
+    thread = "".join(f"<div class=c><p>Reader {i} {n} wrote</p><p>{f'opinion {i * n} ' * 9}</p></div>" for n in range(comments))
+    discussion = f"<section class='{name}'><h2>Comments</h2>{thread}</section>" if comments else ""
+    return f"<html><body class='single comments-open'><nav><a href=/>Home</a></nav>{before}{body}{after}{discussion}<footer>All ours</footer></body></html>"
+
+
+def probed(i):
+    return "\n\n".join([f"Intro {i} comes first.", f"Much text {i} and more. " * 11 + f"Much text {i} and more.", f"Closing {i} comes last."])
+
+
+@pytest.mark.parametrize(("before", "after"), [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>")])
+def test_op8_keeps_what_stands_beside_a_heavy_child(spark, before, after):
+    rows = [(i, "http://a.net/", probe(i, "", before, after)) for i in range(12)]
+    found = {r.page_id: (r.text, r.learnt) for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: (probed(i), True) for i in range(12)}
+    assert [wrappers.single_text(wrappers.Page(h)) for i, _, h in rows] == [probed(i) for i in range(12)]
+
+
+@pytest.mark.parametrize("name", ["comments", "reader-comments", "comment-list", "commentList", "c-comments__thread", "user_comments"])
+@pytest.mark.parametrize("comments", [2, 30])
+def test_op8_leaves_readers_comments_out(spark, name, comments):
+    rows = [(i, "http://a.net/", probe(i, name, "<article>", "</article>", comments)) for i in range(12)]
+    found = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: probed(i) for i in range(12)}
+    assert [wrappers.single_text(wrappers.Page(h)) for _, _, h in rows] == [probed(i) for i in range(12)]
+
+
+def test_op8_induction_decides_where_no_tag_tells(spark):
+    """The given pages with all containers made plain ``div``: a wrapper is right where a page alone is not."""
+    kinds = ("nav", "article", "footer", "header", "aside", "section", "main", "form", "div")
+
+    def plain(match):
+        tag = match[2].lower()
+        return match[0] if tag not in kinds else "</div>" if match[1] else f"<div class='k{'abcdefghi'[kinds.index(tag)]}'>"
+
+    def article(page):
+        parts = re.split("</?(?:h1|h2|h3|p|li|ul|ol|blockquote)[^>]*>", re.search("<article>(.*?)</article>", page or "", re.DOTALL)[1].replace("<br>", "\n"))
+        bare = [re.sub("</?(?:b|i|a|em|strong|span)(?: [^>]*)?>", "", p) for p in parts]
+        return "\n\n".join(t for t in (" ".join(entities.unescape(p).split()) for p in bare) if t)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rows = [(r.page_id, r.url, re.sub(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", plain, r.html or "")) for r in pages]
+    found = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wanted = {r.page_id: article(r.html) for r in pages}
+    alone = sum(wrappers.single_text(wrappers.Page(h)) == wanted[p] for p, _, h in rows)
+    right = sum(found[p] == wanted[p] for p in wanted)
+    assert right >= 0.99 * len(wanted) and alone < 0.95 * len(wanted)
+
+
 def test_op8_hosts_of_one_page_and_odd_first_pages(spark):
     body = "<body><nav><a href=/>Home</a></nav><div class='ad'>Buy %d now</div><div><h1>Title %d</h1><p>Text of page %d goes on.<p>And ends.</div><footer>All ours</footer></body>"
     rows = [(0, "http://many.net/", None), (1, "http://many.net/e", "<p>Not found")] + [(i, f"http://many.net/{i}", body % (i, i, i)) for i in range(2, 9)]
