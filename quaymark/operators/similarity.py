@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions.fingerprints import word_votes
 from quaymark.operators.graph import connected_components
 
 
@@ -68,16 +69,11 @@ def hamming(a: Column, b: Column) -> Column:
 def text_bits(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, h)``: a fingerprint of 64 bits for each key; a bit is set where most of its distinct words have it.
 
-    Texts without words are zero. The votes of a text are added up before they are shuffled, and are 64 counts whatever its length.
+    Texts without words are zero. The votes of a text are added up where it is read: 64 counts go on, whatever its length. Rows of one key vote together.
     """
-    words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), ""))
-    digest = F.md5("word")
-    half = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long")
-    word_bits = F.shiftleft(half(1), 32).bitwiseOR(half(9))
-    hashed = rows.select(key, F.explode_outer(words).alias("word")).select(key, word_bits.alias("w"))
-    # a sum counts bit i in its lower half and bit i + 32 in its upper one
-    lanes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{i}") for i in range(32)]
-    votes = hashed.groupBy(key).agg(F.count("w").alias("n"), *lanes)
+    voted = rows.select(key, word_votes(F.col(text)).alias("v"))
+    lanes = [F.sum(F.get("v.votes", F.lit(i))).alias(f"s{i}") for i in range(32)]
+    votes = voted.groupBy(key).agg(F.sum("v.n").alias("n"), *lanes)
     h = F.lit(0).cast("long")
     for i in range(64):
         seen = F.shiftright(f"s{i % 32}", 32) if i >= 32 else F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1))

@@ -13,12 +13,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.functions.fingerprints import wide_votes
 from quaymark.operators.graph import connected_components
 from quaymark.operators.similarity import hamming, hamming_pairs, hash_classes, reference_order, text_bits
 from quaymark.sources.shared import stored
 
 GUARD, VERIFY = 5, 60
-WIDE, VOTES = 1024, 8
 Scorer = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -41,23 +41,10 @@ def guarded(firsts: DataFrame, key: str, text: str) -> DataFrame:
     return near.unionByName(equal)
 
 
-def wide_bits(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, wide``: 1,024 bits as 16 longs. Each distinct word votes for or against eight bits that its MD5 picks; a bit is set by a majority."""
-    words = rows.select(key, F.explode(distinct_words(F.col(text))).alias("word")).withColumn("md5", F.md5("word"))
-    third = lambda i: F.conv(F.substring("md5", 3 * i + 1, 3), 16, 10).cast("int")
-    ballots = F.array(*[F.struct(third(i).bitwiseAND(WIDE - 1).alias("bit"), (1 - 2 * F.shiftright(third(i), 10).bitwiseAND(1)).alias("vote")) for i in range(VOTES)])
-    sums = words.select(key, F.inline(ballots)).groupBy(key, "bit").agg(F.sum("vote").alias("n")).where("n > 0")
-    mask = F.expr("shiftleft(1L, bit % 64)")
-    lanes = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == i, mask).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WIDE // 64)]
-    set_bits = sums.groupBy(key).agg(*lanes)
-    zero = F.lit(0).cast("long")
-    return rows.select(key).join(set_bits, key, "left").select(key, F.array(*[F.coalesce(f"w{i}", zero) for i in range(WIDE // 64)]).alias("wide"))
-
-
 def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(a, b, distance)``: pairs whose wide fingerprints differ in ``VERIFY`` bits or fewer."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    wide = stored(wide_bits(rows.join(asked, key, "left_semi"), key, text), "staged-wide")
+    wide = stored(rows.join(asked, key, "left_semi").select(key, wide_votes(F.col(text)).alias("wide")), "staged-wide")
     both = pairs.join(wide.select(F.col(key).alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col(key).alias("b"), F.col("wide").alias("wb")), "b")
     distance = F.aggregate(F.zip_with("wa", "wb", hamming), F.lit(0), lambda n, x: n + x)
     return both.select("a", "b", distance.alias("distance")).where(F.col("distance") <= VERIFY)

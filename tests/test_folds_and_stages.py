@@ -1,14 +1,18 @@
 """Tiers, identities, neighbours, routes, matches, votes, paths, stages, bursts and feeds against plain versions."""
 
+import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaymark.functions import fingerprints
+from quaymark.functions.fingerprints import wide_votes, word_votes
 from quaymark.operators import assignments, bursts, identities, media, neighbours, routes, sequences, sketches, staged, tiers
 from quaymark.plans import registry
 from quaymark.streaming import streams
@@ -354,7 +358,7 @@ def test_each_stage_drops_something(spark):
     firsts = staged.exact_firsts(docs, "doc_id", "text")
     assert {r.doc_id: r.first for r in firsts.collect() if r.doc_id != r.first} == {5: 0, 7: 6, 8: 6}
     single = docs.join(firsts.where("doc_id = first"), "doc_id", "left_semi")
-    wide = {r.doc_id: list(r.wide) for r in staged.wide_bits(single, "doc_id", "text").collect()}
+    wide = {r.doc_id: list(r.wide) for r in single.select("doc_id", wide_votes(F.col("text")).alias("wide")).collect()}
     bits = {k: sum(bin(x & (2**64 - 1)).count("1") for x in v) for k, v in wide.items()}
     assert bits[6] == 0 and all(100 < n < 900 for k, n in bits.items() if k != 6)
     pairs = spark.createDataFrame([(0, 1), (10, 11), (20, 21), (0, 10), (30, 31)], "a long, b long")
@@ -377,6 +381,29 @@ def test_each_stage_drops_something(spark):
     assert {(r.component, r.node) for r in staged.confirmed_groups(found, 0.9).collect()} == {(20, 20), (20, 21)}
 
 
+def test_votes_equal_a_count_word_by_word(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(90)] + ["ÉTÉ", "K9", "x_y"]
+    texts = [None, "", "...", "One one ONE"] + [" ".join(rng.choices(words, k=rng.randint(1, 200))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(2)
+    found = {r.i: r for r in docs.select("i", word_votes(F.col("text")).alias("v"), wide_votes(F.col("text")).alias("wide")).collect()}
+    for i, text in enumerate(texts):
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in set(re.findall("[a-z0-9]+", (text or "").lower()))]
+        ones = [sum(int(d[:16], 16) >> bit & 1 for d in digests) for bit in range(64)]
+        assert found[i].v.n == len(digests) and list(found[i].v.votes) == [ones[b] | ones[b + 32] << 32 for b in range(32)]
+        sums = Counter()
+        for d in digests:
+            for k in range(8):
+                x = int(d[3 * k : 3 * k + 3], 16)
+                sums[x % 1024] += -1 if x // 1024 % 2 else 1
+        assert {64 * lane + b for lane, x in enumerate(found[i].wide) for b in range(64) if x >> b & 1} == {b for b, n in sums.items() if n > 0}
+    monkeypatch.setattr(fingerprints, "KEPT", 8)  # what is remembered is emptied again and again, and outgrown by one text
+    hashes = fingerprints._hashed((), "<u8", lambda d: int.from_bytes(d[:8], "big"))
+    for text in texts[1:]:
+        low = text.lower()
+        assert sorted(hashes(low).tolist()) == sorted(int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set(re.findall("[a-z0-9]+", low)))
+
+
 # bursts
 
 
