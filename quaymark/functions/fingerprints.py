@@ -16,37 +16,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEPT = 1 << 17
+KEPT = 1 << 18
 WIDE, VOTES = 1024, 8
 _WORD = re.compile("[a-z0-9]+")
 
 
-def _hashed(shape: tuple[int, ...], dtype: str, one: Callable[[bytes], object]) -> Callable[[str], np.ndarray]:
-    """A function from a text to the hashes of its distinct words, a row for each."""
-    known: dict[str, int] = {}
-    table = np.empty((KEPT, *shape), dtype)
+class _Places(dict):
+    """The row of a table that holds a word's hash; a word that is new is hashed into the next row."""
 
-    def hashes(text: str | None) -> np.ndarray:
-        nonlocal table
+    def __init__(self, shape: tuple[int, ...], dtype: str, one: Callable[[bytes], object]):
+        super().__init__()
+        self.table, self.one = np.empty((KEPT, *shape), dtype), one
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.table[place] = self.one(hashlib.md5(word.encode()).digest())
+        return place
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's distinct words, a row for each."""
         words = set(_WORD.findall(text or ""))
-        if len(known) + len(words) > len(table):
-            known.clear()
-            if len(words) > len(table):  # one text with more words than are remembered
-                table = np.empty((len(words), *shape), dtype)
-        at = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            place = known.get(word)
-            if place is None:
-                place = known[word] = len(known)
-                table[place] = one(hashlib.md5(word.encode()).digest())
-            at[i] = place
-        return table[at]
-
-    return hashes
+        if len(self) + len(words) > len(self.table):
+            self.clear()
+            if len(words) > len(self.table):  # one text with more words than are remembered
+                self.table = np.empty((len(words), *self.table.shape[1:]), self.table.dtype)
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 def _lanes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    hashes = _hashed((), "<u8", lambda digest: int.from_bytes(digest[:8], "big"))
+    hashes = _Places((), "<u8", lambda digest: int.from_bytes(digest[:8], "big")).hashes
     for batch in texts:
         sizes, votes = [], []
         for text in batch:
@@ -62,7 +60,7 @@ def _wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         thirds = [int(digest.hex()[3 * i : 3 * i + 3], 16) for i in range(VOTES)]
         return [2 * (x & WIDE - 1) + (x >> 10 & 1) for x in thirds]
 
-    hashes = _hashed((VOTES,), "int32", ballots)
+    hashes = _Places((VOTES,), "int32", ballots).hashes
     for batch in texts:
         made = []
         for text in batch:

@@ -398,7 +398,7 @@ def test_votes_equal_a_count_word_by_word(spark, monkeypatch):
                 sums[x % 1024] += -1 if x // 1024 % 2 else 1
         assert {64 * lane + b for lane, x in enumerate(found[i].wide) for b in range(64) if x >> b & 1} == {b for b, n in sums.items() if n > 0}
     monkeypatch.setattr(fingerprints, "KEPT", 8)  # what is remembered is emptied again and again, and outgrown by one text
-    hashes = fingerprints._hashed((), "<u8", lambda d: int.from_bytes(d[:8], "big"))
+    hashes = fingerprints._Places((), "<u8", lambda d: int.from_bytes(d[:8], "big")).hashes
     for text in texts[1:]:
         low = text.lower()
         assert sorted(hashes(low).tolist()) == sorted(int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set(re.findall("[a-z0-9]+", low)))
