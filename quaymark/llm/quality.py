@@ -155,51 +155,60 @@ def _starts(sample: DataFrame, scales: DataFrame) -> DataFrame:
 def _concentrated(near: DataFrame) -> DataFrame:
     """Of each stratum and start, mean ``m_*``, lower triangle ``l_*_*`` of the covariance and log ``determinant`` over the closest rows."""
     k = range(len(STATS))
-    near = near.withColumn("value", _coarse(F.col("d2")))
-    limits = stored(_quantiles(near, ["stratum", "start"], {"limit": SHARE}), "quality-limits")
-    inner = near.join(limits, ["stratum", "start"]).where(F.col("value") <= F.col("limit"))
-    whole = lambda x: F.sum(x.cast("decimal(38,0)")).cast("double")  # noqa: E731  exact
-    sums = inner.groupBy("stratum", "start").agg(
-        F.count("*").alias("n"),
-        *[whole(F.col(STATS[i])).alias(f"t_{i}") for i in k],
-        *[whole(F.col(STATS[i]) * F.col(STATS[j])).alias(f"t_{i}_{j}") for i in k for j in range(i + 1)],
+    totals = [f"t_{i}" for i in k] + [f"t_{i}_{j}" for i in k for j in range(i + 1)]
+    # a cell holds some hundred billion rows of usual words before a long overflows, which raises an error
+    cells = near.groupBy("stratum", "start", _coarse(F.col("d2")).alias("value")).agg(
+        F.count("*").alias("times"),
+        *[F.sum(STATS[i]).alias(f"t_{i}") for i in k],
+        *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"t_{i}_{j}") for i in k for j in range(i + 1)],
     )
+    whole = Window.partitionBy("stratum", "start")
+    before = F.sum("times").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    # no more rows in a group than grid values; the last one inside is the least that reaches the share
+    inner = cells.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("times").over(whole).alias("all")).where(F.col("before") < SHARE * F.col("all"))
+    exact = lambda x: F.sum(F.col(x).cast("decimal(38,0)")).cast("double").alias(x)
+    sums = inner.groupBy("stratum", "start").agg(F.sum("times").alias("n"), *[exact(x) for x in totals])
     mean = [F.col(f"t_{i}") / F.col("n") / GRID for i in k]
     found = sums.select(
         "stratum", "start",
         *[mean[i].alias(f"m_{i}") for i in k],
         *[(F.col(f"t_{i}_{j}") / F.col("n") / GRID / GRID - mean[i] * mean[j] + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in k for j in range(i + 1)],
     )
+    # one projection: each column may use those before it
+    lower = []
     for j in k:
         pivot = F.col(f"c_{j}_{j}") - sum((F.pow(f"l_{j}_{q}", F.lit(2)) for q in range(j)), F.lit(0.0))
-        found = found.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(pivot, F.lit(1e-9))))
+        lower.append(F.sqrt(F.greatest(pivot, F.lit(1e-9))).alias(f"l_{j}_{j}"))
         for i in range(j + 1, len(STATS)):
             rest = F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{q}") * F.col(f"l_{j}_{q}") for q in range(j)), F.lit(0.0))
-            found = found.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
+            lower.append((rest / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
+    found = found.select("*", *lower)
     determinant = sum((2 * F.log(f"l_{i}_{i}") for i in k), F.lit(0.0)).alias("determinant")
     return found.select("stratum", "start", determinant, *[f"m_{i}" for i in k], *[f"l_{i}_{j}" for i in k for j in range(i + 1)])
 
 
 def _distance(joined: DataFrame, carried: list[str]) -> DataFrame:
     """``carried`` and ``d2``, the squared Mahalanobis distance of rows that have their stratum's estimate."""
+    scaled = []
     for i, s in enumerate(STATS):
         rest = F.col(s) / GRID - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
-        joined = joined.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
+        scaled.append((rest / F.col(f"l_{i}_{i}")).alias(f"y_{i}"))
+    joined = joined.select("*", *scaled)
     return joined.select(*carried, sum((F.pow(f"y_{i}", F.lit(2)) for i in range(len(STATS))), F.lit(0.0)).alias("d2"))
 
 
 def _least_determinants(sample: DataFrame, scales: DataFrame) -> DataFrame:
     """The estimate of each stratum: concentrated from every start until no determinant falls, the least one chosen."""
-    best = stored(_concentrated(_starts(sample, scales)), "quality-estimate")
+    best = stored(_concentrated(_starts(sample, scales)).withColumn("fell", F.lit(True)), "quality-estimate")
     for _ in range(STEPS):
-        near = _distance(sample.join(best, "stratum"), ["stratum", "start", *STATS])
-        old = best.select("stratum", "start", F.struct("*").alias("old"))
-        both = _concentrated(near).select("stratum", "start", F.struct("*").alias("new")).join(old, ["stratum", "start"])
-        fell = F.col("new.determinant") < F.col("old.determinant") - 1e-9
+        # what fell no more gives the same estimate again and is left alone
+        near = _distance(sample.join(best.where("fell"), "stratum"), ["stratum", "start", *STATS])
+        new = _concentrated(near).select("stratum", "start", F.struct("*").alias("new"))
+        both = best.select("stratum", "start", F.struct(*[c for c in best.columns if c != "fell"]).alias("old")).join(new, ["stratum", "start"], "left")
+        fell = F.coalesce(F.col("new.determinant") < F.col("old.determinant") - 1e-9, F.lit(False))
         best = stored(both.select(F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("fell")).select("e.*", "fell"), "quality-estimate")
         if not best.where("fell").limit(1).count():
             break
-        best = best.drop("fell")
     chosen = best.drop("fell").groupBy("stratum").agg(F.min(F.struct("determinant", "start", F.struct("*").alias("e"))).alias("row"))
     return chosen.select("row.e.*").drop("start", "determinant")
 
