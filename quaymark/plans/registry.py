@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quaymark.plans import browse, clusters, documents, filters, grouping, languages, layouts, library, media, records, regions, relations, rules, searching, stages, storage, vectors  # noqa: E402, F401
+from quaymark.plans import browse, clusters, documents, filters, grouping, languages, layouts, library, media, records, regions, relations, rules, searching, sorts, stages, storage, vectors  # noqa: E402, F401
