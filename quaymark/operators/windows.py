@@ -28,9 +28,11 @@ def sessions(rows: DataFrame, owner: str, time: str, gap_seconds: int, tie: str)
 
 
 def delays(rows: DataFrame, owner: str, time: str, tie: str, low: int = 40, high: int = 1000, default: int = 100) -> DataFrame:
-    """Milliseconds to the next row within bounds; the default where there is none above zero; the last repeats."""
+    """Milliseconds to the next row within bounds; the default where there is none above zero; the last repeats. Times count by the nearest millisecond."""
     w = Window.partitionBy(owner).orderBy(time, tie)
-    millis = F.unix_millis(F.col(time).cast("timestamp"))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    half = micros + F.when(micros < 0, -500).otherwise(500)
+    millis = ((half - half % 1000) / 1000).cast("long")
     ahead = rows.withColumn("_d", F.lead(millis).over(w) - millis)
     bounded = F.when(F.col("_d") > 0, F.least(F.greatest("_d", F.lit(low)), F.lit(high))).otherwise(F.when(F.col("_d").isNotNull(), default))
     placed = ahead.withColumn("_b", bounded)
