@@ -5,8 +5,9 @@ holes. Documents are cut into blocks of ``STRIDE`` words; a passage is two block
 Terms are weighted by the square of the inverse document frequency, counted over all documents. A
 randomised singular value decomposition of the TF-IDF passages gives the latent space: tasks multiply their
 passages with a random matrix, then with the basis found, and Spark adds up the products term by term.
-Its axes are scaled to unit variance, or else the words that most passages share would rule the cosines. It is fitted on the passages of a bounded sample of documents (``FIT_DOCUMENTS``, by a hash of the id) and of
-the benchmark; the search then runs over every passage of every document.
+Its axes are scaled to unit variance, or else the words that most passages share would rule the cosines. It is fitted
+on every passage of every document and of the benchmark, which weighs against the documents as it would against
+``BESIDE`` of them, or else its own words would lose their axes as a corpus grows. The search then runs over the same passages.
 
 A passage with a cosine of ``COSINE`` or more to an item is a candidate. Around it the longest common subsequence
 with the item is taken: ``LCS`` of the item's words must occur in order within a span of the text, and of the
@@ -42,12 +43,14 @@ RANK = 128
 OVERSAMPLE = 8
 ITEMS = 1024
 TERMS = 1 << 18
-FIT_DOCUMENTS = 2000
 COSINE = 0.25
+BESIDE = 2000
 LCS = 0.5
 ANSWER = 0.33
 #: Blocks whose similarities a task holds at a time.
 BLOCKS = 4096
+#: The same for the fit, whose sums of vectors then stay near the processor.
+FIT_BLOCKS = 1024
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 CODES = "kind int, doc_id long, text_key long, codes binary, term int, n long"
@@ -123,16 +126,15 @@ class Blocks:
         out[:-1][self.goes_on[:-1]] += out[1:][self.goes_on[:-1]]
         return out
 
-    def back(self, rows: np.ndarray, terms: int) -> np.ndarray:
-        """The transpose of the passages' term counts times ``rows``."""
+    def back(self, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Adds the transpose of the passages' term counts times ``rows`` to ``out``, which has a row for each term."""
         spread = rows.copy()
         spread[1:][self.goes_on[:-1]] += rows[:-1][self.goes_on[:-1]]
-        order = np.argsort(self.codes, kind="stable")
+        order = np.argsort(self.codes.astype(np.uint16) if len(out) <= 1 << 16 else self.codes, kind="stable")
         sorted_codes = self.codes[order]
-        out = np.zeros((terms, rows.shape[1]), np.float64)
         if len(order):
             starts = np.flatnonzero(np.concatenate([[True], np.diff(sorted_codes) > 0]))
-            out[sorted_codes[starts]] = np.add.reduceat(spread[self.block[order]].astype(np.float64), starts, axis=0)
+            out[sorted_codes[starts]] += np.add.reduceat(spread[self.block[order]], starts, axis=0)
         return out
 
 
@@ -179,13 +181,11 @@ def latent_basis(codes: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     terms = len(idf)
     rank = min(RANK, terms)
     width = min(rank + OVERSAMPLE, terms)
-    total = max(1, codes.where("kind = 0").count())
-    share = min(1.0, FIT_DOCUMENTS / total)
-    sample = stored(codes.where("kind = 0").where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), "fit-sample")
     own = Blocks([np.array(c, np.int32) for c in items.codes])
+    weight = max(1.0, codes.where("kind = 0").count() / BESIDE)
     basis = np.random.default_rng(0).standard_normal((terms, width))
     for _ in range(2):
-        product = _product(sample, idf, basis) + idf[:, None] * own.back(own.passages((idf[:, None] * basis).astype(np.float32)), terms)
+        product = _product(codes.where("kind = 0"), idf, basis) + weight * idf[:, None] * own.back(own.passages((idf[:, None] * basis).astype(np.float32)), np.zeros(basis.shape))
         basis_before, (basis, _) = basis, np.linalg.qr(product)
     # the last product belongs to the basis before; its small matrix orders the directions
     small = basis.T @ product @ (basis_before.T @ basis)
@@ -194,22 +194,22 @@ def latent_basis(codes: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     return basis @ turned[:, order] / np.sqrt(np.maximum(values[order], 1e-9))
 
 
-def _product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The Gram matrix of the sample's TF-IDF passages times ``basis``, added up by Spark for each term."""
-    sent = sample.sparkSession.sparkContext.broadcast(((idf[:, None] * basis).astype(np.float32), idf))
+def _product(codes: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The Gram matrix of the documents' TF-IDF passages times ``basis``, added up by Spark for each term."""
+    sent = codes.sparkSession.sparkContext.broadcast(((idf[:, None] * basis).astype(np.float32), idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, idf = sent.value
         out = np.zeros(vectors.shape, np.float64)
-        for docs in _documents(batches):
+        for docs in _documents(batches, FIT_BLOCKS):
             blocks = Blocks([d for _, _, d in docs])
-            out += blocks.back(blocks.passages(vectors), len(idf))
+            blocks.back(blocks.passages(vectors), out)
         for at in range(0, len(out), 1024):
             part = idf[at : at + 1024, None] * out[at : at + 1024]
             values = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part)), pa.int32()), values], names=["term", "row"])
 
-    rows = sample.mapInArrow(run, "term int, row array<double>").withColumn("row", array_to_vector("row"))
+    rows = codes.mapInArrow(run, "term int, row array<double>").withColumn("row", array_to_vector("row"))
     found = rows.groupBy("term").agg(vector_to_array(Summarizer.sum(F.col("row"))).alias("row")).collect()
     out = np.zeros(basis.shape)
     for row in found:
@@ -217,7 +217,7 @@ def _product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarra
     return out
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _documents(batches: Iterator[pa.RecordBatch], most: int = BLOCKS) -> Iterator[list[tuple]]:
     """Documents of some blocks in all; a long one comes alone."""
     some, size = [], 0
     for batch in batches:
@@ -225,7 +225,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             codes = np.frombuffer(raw.as_buffer(), np.int32)
             some.append((doc_id, key, codes))
             size += len(codes) // STRIDE + 1
-            if size >= BLOCKS:
+            if size >= most:
                 yield some
                 some, size = [], 0
     if some:
