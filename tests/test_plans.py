@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quaymark.operators.keyframes import BOX, boxes_at
 from quaymark.operators.similarity import hamming_pairs
 
 
@@ -15,3 +16,28 @@ def test_keys_of_hamming_pairs_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(found)
     found.count()
     assert "BroadcastHashJoin" not in plan(found)
+
+
+def test_boxes_of_stretches_are_compared_with_few_moments(spark):
+    """A hundred tracks of one video, each on screen for a short while: pairs of tracks and moments are not made."""
+    box = [F.lit(0.5).alias(c) for c in BOX]
+    keys = spark.range(200).select(F.lit(1).alias("video"), F.floor(F.col("id") / 2).alias("track"), (F.floor(F.col("id") / 2) * 100 + F.col("id") % 2 * 99).alias("t"), *box, F.lit(False).alias("outside"))
+    moments = spark.range(10_000).select(F.lit(1).alias("video"), F.col("id").alias("t"))
+    found = boxes_at(keys, moments)
+    assert found.count() == 10_000  # a track's last keyframe shows its box too
+    rows = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        while "QueryStage" in node.nodeName():
+            node = node.plan()
+        made = node.metrics().get("numOutputRows")
+        rows.append(made.get().value() if made.isDefined() else 0)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    result = found._jdf.queryExecution().executedPlan()
+    found._jdf.collectToPython()
+    walk(result)
+    assert 10_000 <= max(rows) <= 40_000
