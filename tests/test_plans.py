@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators.keyframes import BOX, boxes_at
 from quaymark.operators.similarity import hamming_pairs
+from quaymark.plans import registry
 
 
 def plan(df):
@@ -41,3 +42,8 @@ def test_boxes_of_stretches_are_compared_with_few_moments(spark):
     found._jdf.collectToPython()
     walk(result)
     assert 10_000 <= max(rows) <= 40_000
+
+
+def test_pairs_hold_no_sketch_of_their_own(spark):
+    lines = plan(registry.QUERIES["sketch_error"](spark, "/root/testdata/sf0.001")).splitlines()
+    assert not any("approx_count_distinct" in x and "keys=[event_type" in x and "user_id" in x.split("functions=")[0] for x in lines if "functions=" in x)
