@@ -446,3 +446,39 @@ def test_merged_sketches_stay_within_their_bound(spark):
     assert all(abs(about[h] - exact[h]) <= 4 * 1.04 / math.sqrt(2**sketches.LOG_REGISTERS) * exact[h] for h in exact)
     whole = sketches.merged_counts(daily, [F.lit(0).alias("all")]).first().about
     assert abs(whole - rows.select("who").distinct().count()) <= 0.07 * 20_000
+
+
+# products of vectors
+
+
+def test_vectors_are_sent_to_no_more_blocks_than_the_spread(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "SPREAD", 4)
+    rng = np.random.default_rng(5)
+    vectors, frame = unit_frame(spark, np.concatenate([clouds(rng, 6, 20, 0.15), rng.normal(size=(40, 24))]))
+    sent, multiplied = [], neighbours._multiplied
+    monkeypatch.setattr(neighbours, "_multiplied", lambda left, right, *rest: (sent.append(left.count() + right.count()), multiplied(left, right, *rest))[1])
+    near = np.argwhere(np.triu(1 - vectors @ vectors.T <= 0.55, 1)).tolist()
+    for found in (neighbours.near_links(frame, 0.55), neighbours.approximate_links(frame, 0.55)):
+        assert components(len(vectors), [(r.a, r.b) for r in found.collect()]) == components(len(vectors), near)
+    # one copy for each block and one more, whatever the number of tables or pivots
+    assert sent == [5 * len(vectors)] * 2
+    labelled = frame.withColumn("cell", F.col("key") % 3)
+    apart = [(a, b) for a, b in near if a % 3 == b % 3]
+    assert components(len(vectors), [(r.a, r.b) for r in neighbours.links_within(labelled, 0.55).collect()]) == components(len(vectors), apart)
+
+
+def test_tables_and_pivots_are_used_where_they_cost_less(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "SENT", 0)
+    rng = np.random.default_rng(2)
+    vectors, frame = unit_frame(spark, clouds(rng, 60, 10, 0.05))
+    exact = components(len(vectors), np.argwhere(np.triu(1 - vectors @ vectors.T <= 0.02, 1)).tolist())
+    used, cells, pivots = [], neighbours.hyperplane_cells, neighbours._products
+    monkeypatch.setattr(neighbours, "hyperplane_cells", lambda *a: (used.append("tables"), cells(*a))[1])
+    monkeypatch.setattr(neighbours, "_products", lambda *a: (used.append("cells"), pivots(*a))[1])
+    pairs = lambda groups: {p for g in groups for p in itertools.combinations(sorted(g), 2)}
+    found = pairs(components(len(vectors), [(r.a, r.b) for r in neighbours.approximate_links(frame, 0.02, bucket=8).collect()]))
+    assert used == ["tables", "cells"] and found <= pairs(exact) and len(found) >= 0.9 * len(pairs(exact))
+    assert components(len(vectors), [(r.a, r.b) for r in neighbours.near_links(frame, 0.02).collect()]) == exact
+    assert used == ["tables", "cells", "cells"]
