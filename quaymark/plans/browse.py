@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions.text import chunks, first_heading, plain_html, sort_title
-from quaymark.operators.groups import ancestors, tree_totals
+from quaymark.operators.groups import ancestors, both_ways, tree_totals
 from quaymark.operators.similarity import wilson
 from quaymark.operators.windows import as_of, delays, latest, medians, ranked, sessions, spaced_samples, suppressed
 from quaymark.plans.registry import query, table
@@ -152,8 +152,8 @@ def archive_union_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem""")
 def exclusion_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partners in both directions, each pair once."""
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return pairs.union(pairs.select("b", "a")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return both_ways(lines, "a", "b")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
