@@ -173,3 +173,14 @@ def test_tokens_of_positions_parts_and_tables(spark, asked, wanted):
 
 def test_text_tokens_find_something(spark):
     assert registry.QUERIES["text_tokens"](spark, SF).count() > 0
+
+
+def test_pages_and_texts_go_to_workers_few_at_a_time(spark):
+    """Plans without Arrow batches, which hold ten thousand rows."""
+    column = F.col("html")
+    pages = spark.createDataFrame([(1, "<h1>A</h1><p>b &amp; c</p>"), (2, None)], "page_id int, html string")
+    made = pages.select("page_id", html.html_to_text(column).alias("text"), html.sanitised(column), html.heading(column))
+    assert [r.text for r in made.orderBy("page_id").collect()] == ["Ab & c", None]
+    for frame in (made, html.sections(pages, "page_id", "html"), text.chunks(pages, "page_id", "html")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan and "MapInPandas" not in plan
