@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +45,6 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int
             at = max(end - overlap, at + 1)
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, piece) for k, t in zip(frame[key], frame[text]) for i, piece in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "piece"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, piece string")
+    # a hundred texts go to a worker at a time, where an Arrow batch would hold up to ten thousand
+    pieces = F.udf(lambda value: cut(value or ""), "array<string>", useArrow=False)
+    return docs.select(key, F.posexplode(pieces(F.col(text))).alias("chunk", "piece"))
