@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +130,67 @@ def _read(panels, share: float, leftward: bool) -> list:
     return out
 
 
+def line_blocks(boxes: DataFrame) -> DataFrame:
+    """``(image, key, block)``: lines below each other are a block, however many lie between; an image's blocks are numbered from the top, then from the left.
+
+    Links are only within an image, whose lines lie side by side in one task: a line is held against those after it, all images of a batch
+    at once. A task holds a batch and the lines of one image. Lines without image or key are left out.
+    """
+    kinds = {c: boxes.schema[c].dataType.simpleString() for c in ("image", "key")}
+    lines = boxes.where("image IS NOT NULL AND key IS NOT NULL").select("image", "key", *BOX, F.round("cy", 2).alias("top"))
+    schema = f"image {kinds['image']}, key {kinds['key']}, block int"
+    return lines.repartition("image").sortWithinPartitions("image", "key").mapInPandas(_blocks_by_image, schema)
+
+
+def _blocks_by_image(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if len(frame):
+            image = frame["image"].to_numpy()
+            # the last image may go on
+            last = int(np.argmax(image == image[-1]))
+            yield _numbered_blocks(frame.iloc[:last])
+            rest = frame.iloc[last:]
+    if rest is not None:
+        yield _numbered_blocks(rest)
+
+
+def _numbered_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    if rows.empty:
+        return pd.DataFrame({"image": [], "key": [], "block": []})
+    image, key = rows["image"].to_numpy(), rows["key"].to_numpy()
+    cx, cy, w, h, top = (rows[c].to_numpy(dtype=float) for c in (*BOX, "top"))
+    at, links, ahead = np.arange(len(rows)), [], 1
+    i = at[:-1]
+    while len(i := i[i + ahead < len(at)]) and len(i := i[image[i] == image[i + ahead]]):
+        j = i + ahead
+        gap = np.abs(cy[i] - cy[j]) - (h[i] + h[j]) / 2
+        shared = np.minimum(cx[i] + w[i] / 2, cx[j] + w[j] / 2) - np.maximum(cx[i] - w[i] / 2, cx[j] - w[j] / 2)
+        near = (gap < np.maximum(h[i], h[j]) * 0.1 - 0.3) & (shared > 0.2) | (key[i] == key[j])
+        links.append(np.stack([i[near], j[near]]))
+        ahead += 1
+    a, b = np.concatenate(links, axis=1) if links else np.empty((2, 0), int)
+    # the first line of each block, by least marks that spread along links
+    first, before = at.copy(), None
+    while before is None or (first != before).any():
+        before = first.copy()
+        least = np.minimum(first[a], first[b])
+        for ends in (a, b, before[a], before[b]):
+            np.minimum.at(first, ends, least)
+        first = first[first]
+    heads, block = np.unique(first, return_inverse=True)
+    tops, lefts = np.full(len(heads), np.nan), np.full(len(heads), np.nan)
+    np.fmin.at(tops, block, top)
+    np.fmin.at(lefts, block, cx)
+    of = np.unique(image, return_inverse=True)[1][heads]
+    order = np.lexsort((heads, lefts, tops, of))
+    starts = np.searchsorted(of[order], of[order])
+    number = np.empty(len(heads), np.int32)
+    number[order] = np.arange(len(heads)) - starts + 1
+    return pd.DataFrame({"image": image, "key": key, "block": number[block]})
+
+
 # Two boxes of a class are one object at this overlap, or if this share of the smaller one lies in the other.
 SAME_OVERLAP, SAME_CONTAINED = 0.5, 0.85
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaymark.operators.boxes import reading_order
+from quaymark.operators.boxes import line_blocks, reading_order
 from quaymark.operators.graph import connected_components
 from quaymark.operators.neighbours import links_within
 from quaymark.operators.windows import medians
@@ -34,18 +34,7 @@ n AS (SELECT image, component, row_number() OVER (PARTITION BY image ORDER BY ro
 SELECT b.image, b.key, block FROM b LEFT JOIN m ON node = key JOIN n ON n.image = b.image AND n.component = coalesce(m.component, b.key)""")
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a page that lie below each other are a block, however many lie between; blocks are numbered from the top."""
-    boxes = stored(_boxes(spark, sf_dir), "lines")
-    x, y = boxes.alias("x"), boxes.alias("y")
-    c = lambda name: F.col(name)
-    gap = F.abs(c("x.cy") - c("y.cy")) - (c("x.h") + c("y.h")) / 2
-    shared = F.least(c("x.cx") + c("x.w") / 2, c("y.cx") + c("y.w") / 2) - F.greatest(c("x.cx") - c("x.w") / 2, c("y.cx") - c("y.w") / 2)
-    joined = x.join(y, c("x.image") == c("y.image")).where((c("x.key") < c("y.key")) & (gap < F.greatest("x.h", "y.h") * 0.1 - 0.3) & (shared > 0.2))
-    found = connected_components(joined.select(c("x.key").alias("a"), c("y.key").alias("b")), "a", "b")
-    lines = boxes.join(found, F.col("node") == F.col("key"), "left").withColumn("component", F.coalesce("component", "key"))
-    blocks = lines.groupBy("image", "component").agg(F.min("cy").alias("top"), F.min("cx").alias("left"))
-    order = Window.partitionBy("image").orderBy(F.round("top", 2), "left", "component")
-    numbered = blocks.select("image", "component", F.row_number().over(order).alias("block"))
-    return lines.select("image", "component", "key").join(numbered, ["image", "component"]).select("image", "key", "block")
+    return line_blocks(_boxes(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {NEAR}, s AS (SELECT a, b FROM e JOIN u x ON x.vec_id = a JOIN u y ON y.vec_id = b WHERE x.label = y.label),

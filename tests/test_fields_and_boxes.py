@@ -65,3 +65,27 @@ def test_reading_order(spark, leftward, wanted):
     found = reading_order(spark.createDataFrame(panels, "page long, key long, cx double, cy double, h double"), "page", "key", leftward=leftward)
     rows = sorted((r.page, r.place, r.key) for r in found.collect())
     assert [k for p, _, k in rows if p == 9] == wanted and [k for p, _, k in rows if p == 8] == [1]
+
+
+def test_lines_of_an_image_are_blocks_across_batches():
+    import numpy as np
+    import pandas as pd
+
+    from quaymark.operators import boxes
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"image": np.sort(rng.integers(0, 12, 90)), "key": np.arange(90), **{c: rng.random(90).round(1) for c in ("cx", "cy")}, "w": rng.random(90) / 2, "h": 0.2 + rng.random(90) / 4})
+    rows["top"] = rows["cy"]
+    wanted = {}
+    for image, lines in rows.groupby("image"):
+        of = {k: k for k in lines.key}
+        near = [(x.key, y.key) for x in lines.itertuples() for y in lines.itertuples() if abs(x.cy - y.cy) - (x.h + y.h) / 2 < max(x.h, y.h) * 0.1 - 0.3 and min(x.cx + x.w / 2, y.cx + y.w / 2) - max(x.cx - x.w / 2, y.cx - y.w / 2) > 0.2]
+        for _ in range(90):
+            for a, b in near:
+                of[a] = of[b] = min(of[a], of[b])
+        heads = sorted(set(of.values()), key=lambda c: (min(lines.top[k] for k in of if of[k] == c), min(lines.cx[k] for k in of if of[k] == c), c))
+        wanted |= {k: heads.index(c) + 1 for k, c in of.items()}
+    assert len(set(wanted.values())) > 2 and len({(rows.image[k], b) for k, b in wanted.items()}) < 90
+    for size in (1, 7, 90):
+        found = pd.concat(boxes._blocks_by_image(rows.iloc[at : at + size] for at in range(0, 90, size)))
+        assert dict(zip(found.key, found.block)) == wanted
