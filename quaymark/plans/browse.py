@@ -312,7 +312,7 @@ def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of a stream, each at least a day after the last kept one of its key."""
     keyed = file_stream(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
-    return drained(suppressed_within(keyed, "key", "ts", "event_id", 24 * 60), "suppressed").select("event_id", "key")
+    return suppressed_within(keyed, "key", "ts", "event_id", 24 * 60).select("event_id", "key")
 
 
 @query("""WITH e AS (SELECT user_id, ts, value FROM events), w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS d, sum(round(value * 100)::BIGINT) AS v FROM e GROUP BY ALL)

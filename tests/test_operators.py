@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from quaymark.operators.groups import both_ways, leader_clusters, overlaps, tree
 from quaymark.operators.sequences import dtw_cost, dtw_score, offset_votes
 from quaymark.operators.similarity import hamming_pairs, haversine, sign_bits
 from quaymark.operators.windows import as_of, sessions, suppressed
+from quaymark.streaming import streams
 
 
 def union_find(edges):
@@ -175,3 +177,16 @@ def test_leaders_and_chunks(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "short")], "d int, t string")
     parts = chunks(docs, "d", "t").toPandas()
     assert set(parts.d) == {1} and parts.piece.str.len().between(81, 1200).all() and isinstance(parts, pd.DataFrame)
+
+
+def test_a_cooldown_goes_on_from_batch_to_batch(spark, tmp_path):
+    schema = "id int, k string, ts timestamp_ntz"
+    at = lambda i, k, h: f"SELECT {i} id, '{k}' k, timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,{h}) ts"
+    for n, rows in enumerate([[(1, "a", 0), (2, "a", 5), (3, "b", 3)], [(4, "a", 23), (5, "a", 24), (6, "b", 2), (7, "c", 0)], [(8, "a", 30), (9, "b", 27)]]):
+        spark.sql(" UNION ALL ".join(at(*r) for r in rows)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = streams.suppressed_within(stream, "k", "ts", "id", 24 * 60)
+    assert sorted(r.id for r in found.collect()) == [1, 3, 5, 7, 9] and found.columns == ["id", "k", "ts"]
+    # one table for each batch, and no call for each key
+    assert len({f.split("batch=")[1].split("/")[0] for f in found.inputFiles()}) == 3
