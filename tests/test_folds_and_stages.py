@@ -15,6 +15,7 @@ from quaymark.functions import fingerprints
 from quaymark.functions.fingerprints import wide_votes, word_votes
 from quaymark.operators import assignments, bursts, identities, media, neighbours, routes, sequences, sketches, staged, tiers
 from quaymark.plans import registry
+from quaymark.sources import shared
 from quaymark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -482,3 +483,14 @@ def test_tables_and_pivots_are_used_where_they_cost_less(spark, monkeypatch):
     assert used == ["tables", "cells"] and found <= pairs(exact) and len(found) >= 0.9 * len(pairs(exact))
     assert components(len(vectors), [(r.a, r.b) for r in neighbours.near_links(frame, 0.02).collect()]) == exact
     assert used == ["tables", "cells", "cells"]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\S+?\.data", disk.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(shared.FILES_GO, None)
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id % 7 AS k", "id").groupBy("k").agg(F.sum("id").alias("s"))
+    table = shared.stored(rows.join(rows.withColumnRenamed("s", "t"), "k"), "no-shuffles")
+    assert not shuffles() - before
+    assert spark.conf.get(shared.FILES_GO, None) == setting
+    assert table.count() == 7 and table.where("s = t").count() == 7
