@@ -230,7 +230,8 @@ def _set_join(grouped: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     made, and the whole sets decide. So a passage that many texts share is looked up only where nearly all of a text is so common.
     """
     tokens = grouped.select("text_key", F.explode("all").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    # written first, so that the files of this shuffle are gone before all tokens are dealt out again
+    common = stored(tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "similar-common")
     ranked = (
         tokens.join(common, "token")
         .groupBy("text_key")
