@@ -250,6 +250,19 @@ def test_poses_take_their_boxes_one_to_one(spark):
     assert not any(r.needs_review for r in assignments.pose_subjects(boxes, poses, "keep").collect())
 
 
+def test_poses_and_boxes_with_nulls_and_repeats(spark):
+    at = (0.5, 0.5, 1.0, 1.0)
+    boxes = spark.createDataFrame([(None, 1, *at), (1, None, *at), (2, 3, *at), (2, 3, *at), (3, 4, *at)], "image int, box int, cx double, cy double, w double, h double")
+    near = [(0.4, 0.4, 0.9), (0.6, 0.6, 0.9)]
+    poses = spark.createDataFrame([(None, 1, near), (1, 2, near), (2, 3, near), (3, None, near), (4, 5, near)], "image int, person int, points array<struct<x: double, y: double, v: double>>")
+    rows = Counter((r.image, r.box, r.person, r.needs_review) for r in assignments.pose_subjects(boxes, poses).collect())
+    # without an image nothing is matched; a box without a key takes a skeleton but does not show it
+    assert rows == {(None, 1, None, True): 1, (None, None, 1, False): 1, (1, None, None, True): 1, (2, 3, 3, False): 2, (3, 4, None, True): 1, (3, None, None, False): 1, (4, None, 5, False): 1}
+    # an image's boxes and skeletons are dealt out once, and joined with nothing
+    plan = assignments.pose_subjects(boxes, poses)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Join" not in plan
+
+
 # votes and steps
 
 
