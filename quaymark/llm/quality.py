@@ -167,7 +167,8 @@ def _concentrated(near: DataFrame) -> DataFrame:
     # no more rows in a group than grid values; the last one inside is the least that reaches the share
     inner = cells.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("times").over(whole).alias("all")).where(F.col("before") < SHARE * F.col("all"))
     exact = lambda x: F.sum(F.col(x).cast("decimal(38,0)")).cast("double").alias(x)
-    sums = inner.groupBy("stratum", "start").agg(F.sum("times").alias("n"), *[exact(x) for x in totals])
+    # written before they are worked up: many columns, which the driver would plan anew with each stage of the steps before
+    sums = stored(inner.groupBy("stratum", "start").agg(F.sum("times").alias("n"), *[exact(x) for x in totals]), "quality-sums")
     mean = [F.col(f"t_{i}") / F.col("n") / GRID for i in k]
     found = sums.select(
         "stratum", "start",
@@ -207,7 +208,7 @@ def _least_determinants(sample: DataFrame, scales: DataFrame) -> DataFrame:
         both = best.select("stratum", "start", F.struct(*[c for c in best.columns if c != "fell"]).alias("old")).join(new, ["stratum", "start"], "left")
         fell = F.coalesce(F.col("new.determinant") < F.col("old.determinant") - 1e-9, F.lit(False))
         best = stored(both.select(F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("fell")).select("e.*", "fell"), "quality-estimate")
-        if not best.where("fell").limit(1).count():
+        if best.where("fell").isEmpty():
             break
     chosen = best.drop("fell").groupBy("stratum").agg(F.min(F.struct("determinant", "start", F.struct("*").alias("e"))).alias("row"))
     return chosen.select("row.e.*").drop("start", "determinant")
@@ -247,7 +248,7 @@ def _verdicts(rows: DataFrame) -> DataFrame:
     deviations = _medians(sample.join(medians, "stratum"), [F.abs(F.col(s) - F.col(f"q_{i}")) for i, s in enumerate(STATS)], "d")
     scales = stored(medians.join(deviations, "stratum"), "quality-scales")
     best = stored(_least_determinants(sample, scales), "quality-estimate")
-    limits = _limits(_distance(sample.join(best, "stratum"), ["stratum", "pool"]))
+    limits = stored(_limits(_distance(sample.join(best, "stratum"), ["stratum", "pool"])), "quality-limits")
     strata = stored(medians.join(best, "stratum").join(limits, "stratum"), "quality-strata")
     # rows that failed the base rules may have no stratum
     placed = rows.join(strata, "stratum", "left").withColumns(_drawn())

@@ -168,7 +168,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, least: float) -> DataFrame
     meeting = meeting.join(few, "text_key", "left_semi").join(groups.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", "n", "token", group)
     across = meeting.groupBy("token").agg((F.min("group") < F.max("group")).alias("apart")).where("apart").select("token")
     left = meeting.join(across, "token", "left_semi").groupBy("text_key", "group").agg(enough.alias("enough")).where("enough")
-    joined = _set_join(sets.join(left.select("text_key", "group"), "text_key"), sets, least)
+    joined = _set_join(sets.join(stored(left.select("text_key", "group"), "similar-left"), "text_key"), sets, least)
     return groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(joined)
 
 
@@ -267,6 +267,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = N
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
     edges = links(distinct.where("node is not null"))
     if least is not None:
+        # each part of the edges is written on its own, so that the driver plans few joins at a time
+        edges = stored(edges, "fingerprint-links")
         # the texts stand for their fingerprints
         of = stored(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).join(distinct, "fp").select("text_key", "node"), "text-nodes")
         similar = similar_links(docs, prints, least)
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float | None = N
 
 def deduplicated(docs: DataFrame, words: int = WORDS, least: float | None = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, and the smallest hash of the text."""
-    found = near_duplicates(docs, words, least)
+    found = stored(near_duplicates(docs, words, least), "near-duplicates")
     # documents without an id in a component without ids stand for themselves by their fingerprint
     group = F.coalesce("component_id", "fp"), F.col("component_id").isNull()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("row")
