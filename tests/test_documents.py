@@ -2,9 +2,12 @@
 
 import html as entities
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,42 @@ def test_track_of_the_fixture(spark):
     assert found == {(1, 0): 0.2, (1, 1): 0.4, (1, 2): 0.6, (1, 3): 0.7, (1, 6): 0.9, (2, 5): 0.1}
 
 
+def test_tracks_dealt_out_equal_a_plain_loop(spark, monkeypatch):
+    """Videos of more keyframes than come together, keyframes of one time, nulls in boxes, more moments than go out at a time."""
+    monkeypatch.setattr(keyframes, "TOGETHER", 40)
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        track = rng.randrange(24)
+        rows.append((f"v{track % 3}" if i % 50 else None, track, rng.randrange(90) if i % 37 else None, rng.random() if i % 11 else None, rng.random(), 0.1 + i / 1000, 0.2, rng.random() < 0.2))
+    asked = [(f"v{rng.randrange(4)}", rng.randrange(-5, 95)) for _ in range(150)] + [(None, 5), ("v1", None)]
+    keys = spark.createDataFrame(rows, "video string, track long, t long, cx double, cy double, w double, h double, outside boolean")
+    found = sorted(map(repr, map(tuple, keyframes.boxes_at(keys, spark.createDataFrame(asked, "video string, t long")).collect())))
+    last = {}
+    for video, track, t, *box, outside in rows:
+        if video is not None and t is not None:
+            order = [(b is None, b or 0.0) for b in box]
+            last[video, track, t] = max(last.get((video, track, t), ([], None, None)), (order, box, outside), key=lambda x: x[0])
+    wanted = []
+    for (video, track, t), (_, box, outside) in last.items():
+        later = min((x for v, k, x in last if (v, k) == (video, track) and x > t), default=None)
+        for at in {x for v, x in asked if v == video and x is not None and not outside and (t <= x < later if later is not None else x == t)}:
+            then = last[video, track, later][1] if later is not None else box
+            moved = box if later is None else [None if a is None or b is None else a + (b - a) * (at - t) / (later - t) for a, b in zip(box, then)]
+            wanted.append(repr((video, track, at, *moved)))
+    assert found == sorted(wanted) and len(found) > 300
+
+
+def test_moments_go_out_in_pieces(monkeypatch):
+    """A piece ends where its moments are enough, whatever a row has; all rows and moments come."""
+    monkeypatch.setattr(keyframes, "AT_ONCE", 4)
+    t, later = [0, 3, 5, 90, 40, 99, 7], [30, 4, 6, None, 41, 100, None]
+    rows = pa.record_batch({"t": pa.array(t), "later": pa.array(later, pa.int64())})
+    pieces = list(keyframes._within(rows, np.arange(0, 95, 2)))
+    assert len(pieces) > 1
+    found = [(r["t"], r["later"], r["moments"]) for p in pieces for r in p.to_pylist()]
+    assert found == [(a, b, m) for a, b in zip(t, later) if (m := [x for x in range(0, 95, 2) if (a <= x < b if b is not None else x == a)])]
+
+
 # indexes
 
 

@@ -47,3 +47,32 @@ def test_boxes_of_stretches_are_compared_with_few_moments(spark):
 def test_pairs_hold_no_sketch_of_their_own(spark):
     lines = plan(registry.QUERIES["sketch_error"](spark, "/root/testdata/sf0.001")).splitlines()
     assert not any("approx_count_distinct" in x and "keys=[event_type" in x and "user_id" in x.split("functions=")[0] for x in lines if "functions=" in x)
+
+
+def written(df):
+    """Rows that the shuffles of a run have written."""
+    rows, seen = [], set()
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        while "QueryStage" in node.nodeName():
+            node = node.plan()
+        made = node.metrics().get("shuffleRecordsWritten")
+        if made.isDefined() and made.get().id() not in seen:
+            seen.add(made.get().id())
+            rows.append(made.get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    df._jdf.collectToPython()
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(rows)
+
+
+def test_keyframes_are_shuffled_once(spark):
+    box = [F.lit(0.5).alias(c) for c in BOX]
+    keys = spark.range(40_000).select((F.col("id") % 8).alias("video"), F.floor(F.col("id") / 40).alias("track"), (F.col("id") % 40 * 977 + F.col("id") % 13).alias("t"), *box, F.lit(False).alias("outside"))
+    moments = spark.range(800).select((F.col("id") % 8).alias("video"), F.col("id").alias("t"))
+    found = boxes_at(keys, moments)
+    assert 40_000 <= written(found) <= 44_000
