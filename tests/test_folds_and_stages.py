@@ -324,6 +324,51 @@ def test_shared_steps_equal_brute_force(spark):
     assert {tuple(r) for r in pairs.collect()} == wanted and len(wanted) >= 4
 
 
+def test_shared_steps_are_counted_in_rounds(spark, monkeypatch):
+    """Clips that all share one step: their pairs are met in several rounds and are those of one round."""
+    rng = random.Random(8)
+    common, other = [rng.getrandbits(63) for _ in range(2)]
+    rows = [(c, i, h) for c in range(60) for i, h in enumerate([common, rng.getrandbits(63), *[other] * (c % 4 == 0)])]
+    frame = spark.createDataFrame(rows, "clip long, step long, h long")
+    rounds, count = [], media._in_rounds
+    monkeypatch.setattr(media, "_in_rounds", lambda reach, right, n: rounds.append(n) or count(reach, right, n))
+    monkeypatch.setattr(media, "EACH", 100)
+    one = {tuple(r) for r in media.shared_step_pairs(frame)[0].collect()}
+    monkeypatch.setattr(media, "EACH", 2)
+    assert {tuple(r) for r in media.shared_step_pairs(frame)[0].collect()} == one
+    assert one == {(a, b, 2) for a in range(0, 60, 4) for b in range(a + 4, 60, 4)} and rounds == [1, 8]
+
+
+def test_passages_equal_steps_by_rows(spark):
+    """Fingerprints of passages, made where a text is read, are those of votes that are added up by key; rows of one key vote together."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(rng.choice(["The", "sea", "Is", "x1", "é", "--"]) + str(rng.randrange(40)) for _ in range(n))
+    texts = [(i, some(rng.choice([0, 1, 23, 24, 25, 48, 300]))) for i in range(60)] + [(3, some(100)), (3, None), (7, some(30)), (None, some(50)), (90, None), (91, " -- ")]
+    frame = spark.createDataFrame(texts, "k long, t string")
+    length, votes = 24, defaultdict(list)
+    for k, t in texts:
+        words = re.findall("[a-z0-9]+", (t or "").lower())
+        for nth in range(0, len(words), length):
+            votes[k, nth // length] += [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in set(words[nth : nth + length])]
+    rows = []
+    for (k, nth), found in votes.items():
+        h = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in found) > len(found))
+        rows.append((k, nth, h - (1 << 64 if h >> 63 else 0)))
+    wanted = media.indexed_steps(spark.createDataFrame(rows, "clip long, step long, h long"))
+    found = media.indexed_passages(frame, "k", "t", length)
+    plain = lambda df: {r.clip: r.kept for r in df.collect() if r.kept}
+    assert plain(found) == plain(wanted) and len(plain(found)) > 30
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 700}" for i in range(2000))
+    whole = next(fingerprints._passage_bits(24)(iter([[text, None]])))
+    monkeypatch.setattr(fingerprints, "AT_ONCE", 100)
+    monkeypatch.setattr(fingerprints, "KEPT", 8)
+    pieces = next(fingerprints._passage_bits(24)(iter([[text, None]])))
+    assert whole[0].tolist() == pieces[0].tolist() and len(whole[0]) == 84 and not len(whole[1]) and not len(pieces[1])
+
+
 # paths
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.text import chunks
 from quaymark.functions.tokens import Fields, period, search
-from quaymark.operators import groups
+from quaymark.operators import groups, similarity
 from quaymark.operators.graph import connected_components
 from quaymark.operators.groups import both_ways, leader_clusters, overlaps, tree_totals, trips
 from quaymark.operators.sequences import dtw_cost, dtw_score, offset_votes
@@ -60,6 +60,33 @@ def test_hamming_join_equals_brute_force(spark):
     assert {(r.a, r.b) for r in found.collect()} == wanted
 
 
+def test_hamming_join_by_other_limits_and_keys(spark):
+    """Keys of text, null keys and hashes, large buckets over many batches, few pairs at a time, other limits."""
+    rng = np.random.default_rng(1)
+    base = [int(h) for h in rng.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64)]
+    flip = lambda h, bits: ((h & (2**64 - 1)) ^ sum(1 << int(b) for b in bits)) - (2**64 if ((h & (2**64 - 1)) ^ sum(1 << int(b) for b in bits)) >> 63 else 0)
+    hashes = sorted({flip(base[i % 12], rng.choice(64, rng.integers(0, 9), replace=False)) for i in range(250)})
+    frame = spark.createDataFrame([(f"k{i}", h) for i, h in enumerate(hashes)] + [(None, base[0]), ("none", None)], "i string, h long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for limit in (0, 1, 2, 5, 9, 16):
+            apart = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+            wanted = {(*sorted((f"k{i}", f"k{j}")), apart(x, y)) for i, x in enumerate(hashes) for j, y in enumerate(hashes[:i]) if apart(x, y) <= limit}
+            assert sorted(map(tuple, hamming_pairs(frame, "i", "h", limit).collect())) == sorted(wanted)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_near_hashes_come_in_pieces(monkeypatch):
+    h = np.arange(64, dtype=np.uint64)
+    whole = list(similarity._near(h, np.zeros(64, np.int64), 0, 3, [0, 1, 2, 4], [], 2))
+    monkeypatch.setattr(similarity, "AT_ONCE", 5)
+    pieces = list(similarity._near(h, np.zeros(64, np.int64), 0, 3, [0, 1, 2, 4], [], 2))
+    pairs = lambda found: sorted((min(a, b), max(a, b), n) for i, j, d in found for a, b, n in zip(i.tolist(), j.tolist(), d.tolist()))
+    assert len(pieces) > 4 * len(whole) and pairs(pieces) == pairs(whole)
+    assert pairs(whole) == [(a, b, d) for a in range(64) for b in range(a + 1, 64) if (d := (a ^ b).bit_count()) <= 2 and (a % 8 ^ b % 8).bit_count() <= 1]
+
+
 def test_sign_bits(spark):
     vector = [1.0 if i % 3 == 0 or i == 63 else -1.0 for i in range(64)]
     row = spark.createDataFrame([(vector,)], "v array<double>").select(sign_bits(F.col("v")).alias("h")).first()

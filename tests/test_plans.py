@@ -76,3 +76,8 @@ def test_keyframes_are_shuffled_once(spark):
     moments = spark.range(800).select((F.col("id") % 8).alias("video"), F.col("id").alias("t"))
     found = boxes_at(keys, moments)
     assert 40_000 <= written(found) <= 44_000
+
+
+def test_turned_hashes_are_not_shuffled(spark):
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    assert written(hamming_pairs(hashes, "h", "h", 5)) <= 6 * 3000
